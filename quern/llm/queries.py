@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["q_neardup"]
+MODULES: list[str] = ["q_neardup", "q_truncation"]
 
 QUERIES: dict = {}
 SQL: dict = {}
