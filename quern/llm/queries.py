@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["q_neardup", "q_truncation", "q_knn", "q_splitting", "q_filling", "q_names"]
+MODULES: list[str] = ["q_neardup", "q_truncation", "q_knn", "q_splitting", "q_filling", "q_names", "q_subjects"]
 
 QUERIES: dict = {}
 SQL: dict = {}
