@@ -21,8 +21,8 @@ def _hex_value(digest: Column, offset: Column | int, digits: int) -> Column:
 
 def tiled(text: Column, dim: int) -> Column:
     """Bytes of the sha-256 of the text repeated to ``dim``, centred and normalised."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (_hex_value(digest, (i % 32) * 2, 2) - 127.5) / 127.5)
+    raw = V.let(F.sha2(text, 256), lambda digest: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (_hex_value(digest, (i % 32) * 2, 2) - 127.5) / 127.5))
     return V.normalise(raw)
 
 
@@ -30,8 +30,8 @@ def counter(text: Column, dim: int) -> Column:
     """As :func:`tiled`, but block ``r`` of 32 components hashes the text with a four-byte counter."""
     blocks = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 32)),
                          lambda r: F.sha2(F.concat(text.cast("binary"), F.unhex(F.lpad(F.hex(r), 8, "0"))), 256))
-    joined = F.array_join(blocks, "")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _hex_value(joined, i * 2, 2) / 127.5 - 1)
+    raw = V.let(F.array_join(blocks, ""), lambda digest: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _hex_value(digest, i * 2, 2) / 127.5 - 1))
     return V.normalise(raw)
 
 
@@ -43,10 +43,11 @@ def words(text: Column, dim: int) -> Column:
     """
     digests = F.transform(T.fields(F.lower(text)), lambda w: F.sha2(w, 256))
 
-    def component(i: Column) -> Column:
-        return F.aggregate(digests, F.lit(0.0), lambda s, d: s + _hex_value(d, ((i * 4) % 28) * 2, 8) / 4294967295.0 * 2 - 1)
+    def components(ds: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
+            ds, F.lit(0.0), lambda s, d: s + _hex_value(d, ((i * 4) % 28) * 2, 8) / 4294967295.0 * 2 - 1))
 
-    return V.normalise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), component))
+    return V.normalise(V.let(digests, components))
 
 
 def counter_vector(text: str, dim: int) -> list[float]:

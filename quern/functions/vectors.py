@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row.
+
+    An expression used inside a lambda is otherwise evaluated for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
@@ -18,8 +28,10 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Divided by the length; a zero vector is unchanged."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    def divided(x: Column) -> Column:
+        return let(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda y: y / n)).otherwise(F.transform(x, lambda y: y.cast("double"))))
+
+    return let(v, divided)
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
