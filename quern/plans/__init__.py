@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define ``QUERIES`` and ``SQL``.
-MODULES = ["skew", "documents", "knowledge"]
+MODULES = ["skew", "documents", "knowledge", "answers"]
 
 
 def catalogue() -> tuple[dict, dict]:
