@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import embed, providers
@@ -15,7 +15,7 @@ from quern.sources.tables import materialise, table
 
 QUESTION = "Which trade guild fortified the monastery near the harbour?"
 HIGH, LOW = ["trade guild", "monastery"], ["harbour", "guild"]
-DIM = 128
+DIM, CHUNKS = 128, 20
 
 
 def embed_question(text: str) -> list[float]:
@@ -26,6 +26,18 @@ def _meta(name: str):
     return F.get_json_object("metadata", f"$.{name}")
 
 
+def _first_sources(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The first sources of each key, as many as an answer can use.
+
+    An answer shows ``CHUNKS`` distinct chunks; of any one list it can use at most
+    so many, besides as many seen before, so lists of twice that length give the
+    same answer and stay bounded for a key of a third of all rows.
+    """
+    rank = Window.partitionBy(*keys).orderBy("s")
+    first = pairs.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= 2 * CHUNKS)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("source_ids"))
+
+
 def stores(spark: SparkSession, d: str, mode: str) -> retrieval.Stores:
     """The tables a mode needs: vectors of full length, merged entities and edges."""
     index = store.latest(table(spark, d, "vector_index"), "id", "ingested_at").filter(F.size("vector") == DIM)
@@ -35,13 +47,13 @@ def stores(spark: SparkSession, d: str, mode: str) -> retrieval.Stores:
         return out
     mentions = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at").filter("name <> ''")
     heads = mentions.groupBy("name").agg(F.min_by(F.struct("type", "description"), F.struct("extracted_at", "mention_id")).alias("h")).select("name", "h.*")
-    sources = (mentions.select("name", F.explode("source_ids").alias("s")).filter("s <> ''").distinct().groupBy("name").agg(F.array_sort(F.collect_set("s")).alias("source_ids")))
-    out.entities = heads.join(sources, "name", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
+    sources = (mentions.select("name", F.explode("source_ids").alias("s")).filter("s <> ''").distinct())
+    out.entities = heads.join(_first_sources(sources, ["name"]), "name", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
     relations = store.latest(table(spark, d, "relations"), "rel_id", "extracted_at")
     edges = graph.keyed(relations)
     top = edges.groupBy("a", "b").agg(F.min_by(F.struct("keywords", "description"), F.struct("extracted_at", "rel_id")).alias("h")).select("a", "b", "h.*")
-    cited = edges.select("a", "b", F.explode("source_ids").alias("s")).filter("s <> ''").distinct().groupBy("a", "b").agg(F.array_sort(F.collect_set("s")).alias("source_ids"))
-    out.relations = materialise(top.join(cited, ["a", "b"], "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>"))), "answer-edges")
+    cited = edges.select("a", "b", F.explode("source_ids").alias("s")).filter("s <> ''").distinct()
+    out.relations = materialise(top.join(_first_sources(cited, ["a", "b"]), ["a", "b"], "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>"))), "answer-edges")
     if mode in ("local", "hybrid"):
         out.entity_index = index.filter("namespace = 'entities'").select("id", "vector", _meta("entity_id").alias("entity_id"))
     if mode in ("global", "hybrid"):
@@ -52,7 +64,7 @@ def stores(spark: SparkSession, d: str, mode: str) -> retrieval.Stores:
 
 def _refs(spark: SparkSession, d: str, mode: str) -> DataFrame:
     s = stores(spark, d, mode)
-    param = QueryParam(mode=mode, top_k=10, chunk_top_k=20)
+    param = QueryParam(mode=mode, top_k=10, chunk_top_k=CHUNKS)
     rows = retrieval.context_rows(s, retrieval.references(s, QUESTION, embed_question, param, HIGH, LOW))
     return rows.select("ord", "chunk_id", F.octet_length("content").alias("n_bytes"))
 
@@ -80,7 +92,7 @@ def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
 def prompt_assemble(spark: SparkSession, d: str) -> DataFrame:
     """The answer of the hybrid mode by the context-echo stand-in: a row."""
     s = stores(spark, d, "hybrid")
-    out = retrieval.answer(s, QUESTION, embed_question, QueryParam(chunk_top_k=20, max_total_tokens=2000), lambda prompt: prompt, HIGH, LOW)
+    out = retrieval.answer(s, QUESTION, embed_question, QueryParam(chunk_top_k=CHUNKS, max_total_tokens=2000), lambda prompt: prompt, HIGH, LOW)
     return spark.createDataFrame([(out["content"], out["references"], out["packed"], out["mode"])], "content string, references array<string>, packed array<string>, mode string")
 
 
