@@ -131,7 +131,7 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
               .select("namespace", "list", F.when(F.col("is_query"), F.col("mine")).otherwise(F.col("other")).alias("qb"),
                       F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("ib"), "h", "unit", "is_query"))
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         unit = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(-1, dim)
         asks, h = pdf["is_query"].to_numpy(bool), pdf["h"].to_numpy()
         x, hx, q, hq = unit[~asks], h[~asks], unit[asks], h[asks]

@@ -123,7 +123,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         F.least(F.lit(capacity), F.col("size") - F.col("piece_no") * capacity).cast("long").alias("n_tokens"))
     kind = dict(items.dtypes)[id_col]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "id", "piece_no"]).reset_index(drop=True)
         waiting = defaultdict(list)
         for row, size in enumerate(pdf["n_tokens"]):

@@ -5,7 +5,8 @@ UTF-16 units, entity-escaped, JSON-escaped, CRLF line ends).  Per source and
 measure the rows are counted by length; a length held by far more rows than its
 neighbours is a storage limit.  A row is then judged by its ending together with
 three pieces of evidence: it sits at a limit of its source, the provider counted
-more tokens than the text can hold, or the count equals the request's cap.
+more tokens than the text can hold, or the count equals the request's cap.  A
+whole sentence followed by space right at a limit or cap was cut between sentences.
 
 Defined results: null and blank texts are never truncated; a null or zero token
 count, a missing request or a null source is no evidence; repeated deliveries of
@@ -103,7 +104,7 @@ def truncated(responses: DataFrame, requests: DataFrame) -> DataFrame:
     sizes = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(F.col("text")).items()])
     judged = clean.select(
         "response_id", "request_id", "source", "output_tokens", F.octet_length("text").alias("nbytes"), _ending(F.col("t")).alias("ending"),
-        F.length("text").alias("nchars"), sizes.alias("sizes"), line.alias("line"))
+        (F.col("text") != F.col("t")).alias("spaced"), sizes.alias("sizes"), line.alias("line"))
     judged = judged.withColumn("line", F.when(F.col("ending") == "open", F.col("line"))).withColumn("item", _list_item(F.col("line")))
     judged = judged.withColumn("template", F.when(F.col("line").isNotNull() & F.col("item").isNull(), _template(F.col("line"))))
 
@@ -126,7 +127,7 @@ def truncated(responses: DataFrame, requests: DataFrame) -> DataFrame:
     at_limit = F.coalesce("at_limit", F.lit(False))
     at_cap = (tokens > 0) & (tokens >= F.coalesce("max_tokens", F.lit(2**31 - 1)))
     open_whole = F.coalesce("known", "signed", F.lit(False))
-    is_cut = (F.when(F.col("ending") == "cut", True).when(F.col("ending") == "whole", lost)
+    is_cut = (F.when(F.col("ending") == "cut", True).when(F.col("ending") == "whole", lost | (F.col("spaced") & (at_limit | at_cap)))
               .when(F.col("ending") == "marked", lost | at_limit)
               .otherwise(~open_whole | lost | (F.col("known").isNotNull() & at_limit)))
     reason = F.when(at_limit, "storage limit").when(at_cap, "token cap").when(lost, "transfer").otherwise("ending")
