@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 NEAR = 32
 #: A limit holds at least so many rows, and so many times the average of its neighbours.
 SPIKE_ROWS, SPIKE_TIMES = 5, 10
+#: A limit leaves few longer texts: at most so many times the rows at the limit (marks added after the cut make several limits).
+MOST_BEYOND = 8
 #: Bytes a counted token stands for, and the tolerated excess of the count.
 BYTES_PER_TOKEN, EXCESS, EXCESS_BYTES = 4, 1.15, 12
 #: Share of the open endings that a last line must have to count as a sign-off.
@@ -60,8 +62,10 @@ def storage_limits(df: DataFrame, source: str = "source", text: str = "text") ->
     # One row per length is left, so a window over a source holds no more rows than there are lengths.
     near = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-NEAR, NEAR)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
-    return (counted.withColumn("around", around)
-            .filter((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE_TIMES * (F.col("around") + 0.2))).drop("around"))
+    beyond = F.sum("n").over(Window.partitionBy("source", "measure").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
+    return (counted.withColumn("around", around).withColumn("beyond", F.coalesce(beyond, F.lit(0)))
+            .filter((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE_TIMES * (F.col("around") + 0.2)) & (F.col("beyond") <= MOST_BEYOND * F.col("n")))
+            .drop("around", "beyond"))
 
 
 def _ending(t: Column) -> Column:
