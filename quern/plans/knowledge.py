@@ -13,6 +13,7 @@ from quern.operators import vector_search as VS
 from quern.plans import sqltext as S
 from quern.plans.documents import chunks_now
 from quern.sources.tables import table
+from quern.streaming.ingest import windowed_counts
 
 HUB = "Maravel Consortium"
 
@@ -294,8 +295,42 @@ def llm_usage(spark: SparkSession, d: str) -> DataFrame:
                                        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
+def summarize_fast(spark: SparkSession, d: str) -> DataFrame:
+    """Names whose descriptions are joined as they are, and how long the result is."""
+    rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at")
+    out = merging.merge_entities(rows, ["extracted_at", "mention_id"]).filter("description is not null")
+    return out.select("name", "n_descriptions", T.token_count(F.col("description")).alias("n_tokens"))
+
+
+def description_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions of every relation pair of few relations as JSON lines, for a summary prompt."""
+    rows = graph.keyed(_relations(spark, d)).filter("description <> ''")
+    few = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < merging.COUNT)
+    texts = rows.join(few, ["a", "b"]).groupBy("a", "b").agg(F.array_sort(F.collect_list("description")).alias("ds"))
+    return texts.select("a", "b", F.md5(jsontext.json_lines(F.col("ds"))).alias("lines_md5"))
+
+
+def graph_upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions written in order into an empty node table: the last of each name stays."""
+    rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at").filter("name <> ''")
+    out = store.upsert(rows.limit(0), rows, "name", "extracted_at", "mention_id")
+    return out.select("name", "mention_id", "type")
+
+
+def events_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Events per kind and hour: the streaming aggregate over the whole table."""
+    out = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def vector_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Dimension and first components of every embedding."""
+    e = table(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.slice("embedding", 1, 6).alias("h"))
+    return e.select("vec_id", "dim", F.round(F.aggregate("h", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("head_sum"))
+
+
 QUERIES = {f.__name__: f for f in (
-    embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
+    summarize_fast, description_lines, graph_upsert_nodes, events_hourly, vector_manifest, embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
     graph_canonical_edges, graph_upsert_edges, graph_endpoints, graph_degree, graph_neighbors, graph_bfs_d1, graph_bfs_d2, graph_induced, graph_expand_hits, graph_top_nodes,
     extract_entities, extract_relations, extract_cache_key, extract_cache_split, extract_glean, merge_entities, merge_relations, summarize_windows, summarize_full,
     keywords_parse, keywords_fallback, render_entities, render_relations, pack_chunks, hybrid_chunk_union, entity_union, llm_usage)}
@@ -362,6 +397,15 @@ def _search(seed: str, depth: int) -> str:
 _ROWS = " SELECT name, depth, CAST(pos AS INT) AS pos FROM r"
 
 SQL = {
+    "summarize_fast": f"""WITH m AS (SELECT * FROM {_MENTIONS} WHERE coalesce(name, '') <> ''),
+      n AS (SELECT name, count(*) AS n, sum(len({S.fields('description')})) AS tok FROM m WHERE description <> '' GROUP BY 1)
+      SELECT h.name, coalesce(n.n, 0) AS n_descriptions, CAST(coalesce(n.tok, 0) AS INT) AS n_tokens FROM (SELECT DISTINCT name FROM m) h LEFT JOIN n USING (name)
+      WHERE coalesce(n.n, 0) <= 1 OR (n.n < 6 AND n.tok < 500)""",
+    "description_lines": f"""SELECT a, b, md5(string_agg('{{"Description":' || to_json(description) || '}}', chr(10) ORDER BY description)) AS lines_md5
+      FROM (SELECT least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b, description FROM {_RELATIONS} WHERE {_VALID_EDGE} AND description <> '') GROUP BY 1, 2 HAVING count(*) < 6""",
+    "graph_upsert_nodes": f"SELECT name, mention_id, type FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY coalesce(extracted_at, TIMESTAMP '1900-01-01') DESC, mention_id DESC) AS rn FROM {_MENTIONS} WHERE name <> '') WHERE rn = 1",
+    "events_hourly": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "vector_manifest": "SELECT vec_id, CAST(len(embedding) AS INT) AS dim, round(list_sum(embedding[1:6]::DOUBLE[]), 6) AS head_sum FROM embeddings",
     "embed_tiled": f"SELECT chunk_id, {', '.join(_list('v', i) for i in range(8))} FROM (SELECT chunk_id, {_hash_vector('r', 8)} AS v FROM (SELECT chunk_id, {_TILED} AS r FROM {S.CHUNKS} WHERE content IS NOT NULL))",
     "embed_counter": f"""SELECT chunk_id, {', '.join(_list('v', i) for i in (0, 31, 32, 39))} FROM (SELECT chunk_id, {_hash_vector('r', 40)} AS v FROM (
       SELECT chunk_id, list_transform(range(40), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS BIGINT) / 127.5::DOUBLE - 1) AS r FROM (SELECT chunk_id, {_COUNTER_HEX} AS h FROM {S.CHUNKS} WHERE content IS NOT NULL)))""",

@@ -16,16 +16,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only where it is unset (a
-    local test session) a folder under the system's temporary one is used.
+    local test session) a temporary folder is used, which goes with the process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    import atexit
+    import shutil
     import tempfile
 
-    here = f"file://{tempfile.gettempdir()}/quern-shared"
-    spark.conf.set("spark.checkpoint.dir", here)
-    return here
+    here = tempfile.mkdtemp(prefix="quern-")
+    atexit.register(shutil.rmtree, here, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{here}")
+    return f"file://{here}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +38,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     files survive the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/quern-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
