@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import materialise
+
 #: Neighbouring lengths on either side with which a length is compared.
 NEAR = 32
 #: A limit holds at least so many rows, and so many times the average of its neighbours.
@@ -53,12 +55,17 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def storage_limits(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """``source, measure, size, n``: lengths at which a source cuts or stores its texts."""
-    measures = lengths(F.col("_text"))
-    sizes = F.map_from_arrays(F.array(*[F.lit(k) for k in measures]), F.array(*measures.values()))
-    counted = (df.select(F.col(source).alias("source"), F.col(text).alias("_text")).filter("_text <> ''")
-               .select("source", F.explode(sizes).alias("measure", "size")).groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("n")))
+def _sized(df: DataFrame) -> DataFrame:
+    """``source, measure, size`` of every row with its array ``sizes``."""
+    return df.select("source", F.explode("sizes").alias("s")).select("source", "s.measure", "s.size")
+
+
+def _sizes(text: Column) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(text).items()])
+
+
+def _limits(sized: DataFrame) -> DataFrame:
+    counted = sized.groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("n"))
     # One row per length is left, so a window over a source holds no more rows than there are lengths.
     near = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-NEAR, NEAR)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
@@ -68,6 +75,12 @@ def storage_limits(df: DataFrame, source: str = "source", text: str = "text") ->
             .drop("around", "beyond"))
 
 
+def storage_limits(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
+    """``source, measure, size, n``: lengths at which a source cuts or stores its texts."""
+    rows = df.select(F.col(source).alias("source"), F.col(text).alias("_text")).filter("_text <> ''")
+    return _limits(_sized(rows.select("source", _sizes(F.col("_text")).alias("sizes"))))
+
+
 def _ending(t: Column) -> Column:
     """``cut``, ``whole``, ``marked`` or ``open`` for a text without trailing space.
 
@@ -105,14 +118,15 @@ def truncated(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """``response_id, source, reason`` of every response that lost its end."""
     clean = responses.select("response_id", "request_id", "source", "text", "output_tokens").withColumn("t", F.regexp_replace("text", r"(?U)\s+$", "")).filter("t <> ''")
     line = F.element_at(F.split("t", "\n"), -1)
-    sizes = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(F.col("text")).items()])
     judged = clean.select(
         "response_id", "request_id", "source", "output_tokens", F.octet_length("text").alias("nbytes"), _ending(F.col("t")).alias("ending"),
-        (F.col("text") != F.col("t")).alias("spaced"), sizes.alias("sizes"), line.alias("line"))
+        (F.col("text") != F.col("t")).alias("spaced"), _sizes(F.col("text")).alias("sizes"), line.alias("line"))
     judged = judged.withColumn("line", F.when(F.col("ending") == "open", F.col("line"))).withColumn("item", _list_item(F.col("line")))
     judged = judged.withColumn("template", F.when(F.col("line").isNotNull() & F.col("item").isNull(), _template(F.col("line"))))
 
-    limits = storage_limits(responses).select("source", "measure", "size")
+    # Lengths and endings are taken once; what follows never reads the texts again, but for list items.
+    judged = materialise(judged, "truncation-judged")
+    limits = _limits(_sized(judged)).select("source", "measure", "size")
     at = (judged.select("response_id", "source", F.explode("sizes").alias("s")).select("response_id", "source", "s.measure", "s.size")
           .join(limits, ["source", "measure", "size"], "left_semi").select("response_id").distinct().withColumn("at_limit", F.lit(True)))
     # A list item is whole if it stands, followed by more text, in some response.
