@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import wordhash
-from quern.sources.tables import materialise
+from quern.sources.tables import materialise, spread
 
 SEGMENTS, ROWS = 20, 3
 BLOCK = 64
@@ -160,7 +160,7 @@ def similar_classes(texts: DataFrame, k: int = 5, threshold: float = 0.8, min_wo
     # The expected share of differing values at the threshold plus three deviations.
     values = SEGMENTS * ROWS
     budget = int(values * (1 - threshold) + 3 * (values * threshold * (1 - threshold)) ** 0.5)
-    features = materialise(texts.mapInArrow(_features(k, max(k, min_words)), "cid long, keys array<long>, sig binary"), "neardup-features")
+    features = materialise(spread(texts).mapInArrow(_features(k, max(k, min_words)), "cid long, keys array<long>, sig binary"), "neardup-features")
     pairs = materialise(_candidates(features), "neardup-candidates")
     sig = features.select("cid", "sig").groupBy("cid").agg(F.first("sig").alias("sig"))
     signed = (pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quern.llm import mixing, packing
 from quern.llm.tokens import token_sizes
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 
 
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     """Every document text, in tokens, with its window of 2,048 tokens."""
-    sizes = token_sizes(table(spark, d, "documents"), ["doc_id"])
+    sizes = token_sizes(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
     return packing.pack(sizes, "doc_id", "n_tokens").withColumnRenamed("id", "doc_id")
 
 
