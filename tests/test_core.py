@@ -116,33 +116,33 @@ def test_embedders(spark):
     assert v[0]["w"][0] == v[0]["w"][7] and list(v[1]["w"]) == [0.0] * 8
 
 
-EDGES = [("Alice", "Hub"), ("Hub", "Bob"), ("Carol", "Hub"), ("Alice", "Dave"), ("Bob", "Carol"), ("Carol", "Eve"), ("Dave", "Frank"), ("Hub", "Hub"), ("", "Bob"), ("Hub", "Alice")]
+EDGES = [("Ada", "Root"), ("Root", "Ben"), ("Cleo", "Root"), ("Ada", "Dov"), ("Ben", "Cleo"), ("Cleo", "Eli"), ("Dov", "Fay"), ("Root", "Root"), ("", "Ben"), ("Root", "Ada")]
 
 
 def test_graph(spark):
     rel = spark.createDataFrame(EDGES, "src_id string, tgt_id string")
     edges = graph.edge_set(rel)
     assert edges.count() == 7
-    assert dict(rows(graph.degree(edges), "name"))["Carol"] == 3
-    out = graph.search(edges, "Hub", 2, 5)
-    assert [r[0] for r in rows(out, "pos")] == ["Hub", "Carol", "Alice", "Bob", "Dave"]
-    assert rows(graph.induced(edges, out), "a", "b") == [("Alice", "Dave"), ("Alice", "Hub"), ("Bob", "Carol"), ("Bob", "Hub"), ("Carol", "Hub")]
-    assert graph.search(edges, "nobody", 2, 5).count() == 0 and rows(graph.search(edges, "Hub", 0, 5), "pos") == [("Hub", 0, 0)]
+    assert dict(rows(graph.degree(edges), "name"))["Cleo"] == 3
+    out = graph.search(edges, "Root", 2, 5)
+    assert [r[0] for r in rows(out, "pos")] == ["Root", "Cleo", "Ada", "Ben", "Dov"]
+    assert rows(graph.induced(edges, out), "a", "b") == [("Ada", "Dov"), ("Ada", "Root"), ("Ben", "Cleo"), ("Ben", "Root"), ("Cleo", "Root")]
+    assert graph.search(edges, "nobody", 2, 5).count() == 0 and rows(graph.search(edges, "Root", 0, 5), "pos") == [("Root", 0, 0)]
     with pytest.raises(graph.InvalidEdge):
         graph.keyed(rel, strict=True)
-    nodes = spark.createDataFrame([("Hub",), ("Zoe",)], "name string")
-    assert rows(graph.degree(edges, nodes), "name") == [("Hub", 3), ("Zoe", 0)]
+    nodes = spark.createDataFrame([("Root",), ("Zoe",)], "name string")
+    assert rows(graph.degree(edges, nodes), "name") == [("Root", 3), ("Zoe", 0)]
     assert graph.with_endpoints(nodes, edges).count() == 8
     near = rows(graph.expand(edges, nodes, 3), "pos")
-    assert near == [("Hub", "Hub", 0), ("Hub", "Carol", 1), ("Hub", "Alice", 2)]
+    assert near == [("Root", "Root", 0), ("Root", "Cleo", 1), ("Root", "Ada", 2)]
 
 
 def test_extraction(spark):
-    text = ('("entity"<|#|>Apple Inc.<|#|>Company<|#|>A firm)\n("entity"<|#|>"Steve Jobs"<|#|>person<|#|>A founder)\n("relation"<|#|>Steve Jobs<|#|>Apple Inc.<|#|>founder<|#|>He founded it)\n'
+    text = ('("entity"<|#|>Birch Works<|#|>Company<|#|>A firm)\n("entity"<|#|>"Mara Lind"<|#|>person<|#|>A founder)\n("relation"<|#|>Mara Lind<|#|>Birch Works<|#|>founder<|#|>He founded it)\n'
             "entity<|#|>short<|#|>x\nfoo<|#|>a<|#|>b<|#|>c<|#|>d\nentity<|#|><|#|>t<|#|>d\n<|COMPLETE|>")
     p = extraction.records(spark.createDataFrame([(1, text), (2, ""), (3, None)], "i int, t string"), "i", "t")
-    assert rows(extraction.entities(p).select("name", "type", "description"), "name") == [("Apple Inc.", "company", "A firm"), ("Steve Jobs", "person", "A founder")]
-    assert rows(extraction.relations(p).select("src_id", "tgt_id", "weight"), "src_id") == [("Steve Jobs", "Apple Inc.", 1.0)]
+    assert rows(extraction.entities(p).select("name", "type", "description"), "name") == [("Birch Works", "company", "A firm"), ("Mara Lind", "person", "A founder")]
+    assert rows(extraction.relations(p).select("src_id", "tgt_id", "weight"), "src_id") == [("Mara Lind", "Birch Works", 1.0)]
     cache = spark.createDataFrame([], "cache_key string, raw string")
     chunks = spark.createDataFrame([("c1", "same"), ("c2", "same"), ("c3", "other")], "chunk_id string, content string")
     reply = "entity<|#|>N<|#|>t<|#|>d"
