@@ -23,4 +23,11 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours)}
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": """
+        WITH v AS (SELECT namespace, id, any_value(vector)::DOUBLE[] AS v FROM vector_index
+            WHERE len(vector) = 128 AND list_max(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY 1, 2),
+        p AS (SELECT a.namespace, a.id AS x, b.id AS y, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.namespace = b.namespace AND a.id <> b.id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY namespace, x ORDER BY s DESC, y) AS r FROM p)
+        SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE r <= 5 AND s >= 0.8""",
+}
