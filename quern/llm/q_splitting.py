@@ -18,8 +18,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All chunks in pieces of at most 240 tokens, numbered anew within their documents."""
     chunks = table(spark, d, "chunks").filter("chunk_id is not null")
-    # Deliveries of a chunk have the same text; one is kept before anything is moved but its id.
-    once = chunks.groupBy("chunk_id").agg(F.min_by(F.struct("doc_id", "content", "chunk_order_index"), "created_at").alias("c")).select("chunk_id", "c.*")
+    # Deliveries of a chunk have the same text; one is kept before anything is moved but its id. The order is a struct, which is never null.
+    first = F.min_by(F.struct("doc_id", "content", "chunk_order_index"), F.struct("created_at", "doc_id", "chunk_order_index"))
+    once = chunks.groupBy("chunk_id").agg(first.alias("c")).select("chunk_id", "c.*")
     suffix = F.regexp_extract("chunk_id", r"::chunk-(\d{1,9})$", 1)
     # A chunk's id carries its place; the column may be null.
     placed = once.withColumn("place", F.coalesce("chunk_order_index", F.nullif(suffix, F.lit("")).cast("int"), F.lit(0)))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import knn, mixing, names, neardup, packing, splitting, subjects, tokens, truncation, wordhash
+from quern.llm import knn, mixing, names, neardup, packing, q_splitting, splitting, subjects, tokens, truncation, wordhash
 
 WORDS = [a + b for a in ("ba", "do", "ki", "lu", "me", "na", "po", "ru", "si", "ta") for b in ("bar", "den", "fil", "gom", "hus", "jak", "lor", "mit", "nep", "rik")]
 
@@ -166,6 +166,15 @@ def test_split_oversized_cases(spark):
     assert [r[2] for r in got] == list(range(15))
 
 
+def test_pieces_of_chunks_without_a_time(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(300))
+    schema = "chunk_id string, doc_id string, content string, tokens int, chunk_order_index int, created_at timestamp_ntz"
+    spark.createDataFrame([("d::chunk-0", "d", long, 1, 0, None), ("d::chunk-0", "d", long, 1, 0, None), ("d::chunk-1", "d", "short", 1, None, None)], schema).write.parquet(f"{tmp_path}/chunks.parquet")
+    out = rows(q_splitting.p4_pieces(spark, str(tmp_path)).select("chunk_id", "doc_id", "chunk_order_index", "n_tokens"), "chunk_order_index")
+    assert [r[:3] for r in out] == [("d::chunk-0", "d", 0), ("d::chunk-0", "d", 1), ("d::chunk-1", "d", 2)]
+    assert out[0][3] + out[1][3] == 324 and out[2][3] == 1
+
+
 # --- vectors ----------------------------------------------------------------
 
 def test_estimates_are_unbiased():
