@@ -95,14 +95,32 @@ def windows(df: DataFrame, key: str, text: str, seq: list[str], context: int = C
     return packed.select(key, "block_no", F.posexplode(pack_greedily(F.col("parts"), context)).alias("window_no", "texts"))
 
 
+def _reduced(todo: DataFrame, key: str, reduce: Callable[[Column], Column]) -> DataFrame:
+    """``key, description``: blocks of texts reduced, then blocks of the results, until each key has one text.
+
+    A round leaves a text a block, so a key of ``n`` texts takes about ``log n / log BLOCK`` rounds.
+    """
+    done = None
+    while True:
+        packed = blocks(todo, key, "_t", ["_s"]).select(key, reduce(F.col("parts")).alias("_t"), F.struct("block_no").alias("_s"))
+        packed = materialise(packed, "summaries")
+        many = packed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+        one = packed.join(many, key, "left_anti").select(key, F.col("_t").alias("description"))
+        done = one if done is None else done.unionByName(one)
+        todo = packed.join(many, key, "left_semi")
+        if todo.isEmpty():
+            return done
+
+
 def summarise(df: DataFrame, key: str, text: str, seq: list[str], reduce: Callable[[Column], Column], budget: int = BUDGET, context: int = CONTEXT,
               count: int = COUNT, depth: int = DEPTH) -> DataFrame:
     """``key, description, llm_used``: map-reduce summary of each key's descriptions.
 
     ``reduce`` turns an array of texts into one summary.  Groups below ``count``
     texts and ``budget`` tokens are joined; others are packed, windows of several
-    texts reduced and single ones kept, until the result is small enough or the
-    last round reduces what is left at once.
+    texts reduced and single ones kept, until the result is small enough.  After
+    ``depth`` rounds every block of what is left is reduced, then the blocks of
+    those summaries, until a key has one text.
     """
     todo = df.select(key, F.col(text).alias("_t"), F.struct(*seq).alias("_s")).filter((F.coalesce(F.col(key), F.lit("")) != "") & (F.coalesce("_t", F.lit("")) != ""))
     used, done = F.lit(False), None
@@ -114,8 +132,7 @@ def summarise(df: DataFrame, key: str, text: str, seq: list[str], reduce: Callab
         done = ready if done is None else done.unionByName(ready)
         rest = todo.join(sized.filter(~final), key)
         if level == depth - 1:
-            last = blocks(rest, key, "_t", ["_s"]).filter("block_no = 0").select(key, reduce(F.col("parts")).alias("description"), F.lit(True).alias("llm_used"))
-            return done.unionByName(last)
+            return done.unionByName(_reduced(rest.select(key, "_t", "_s"), key, reduce).withColumn("llm_used", F.lit(True)))
         packed = windows(rest, key, "_t", ["_s"], context)
         text_of = F.when(F.size("texts") > 1, reduce(F.col("texts"))).otherwise(F.get("texts", F.lit(0)))
         todo = materialise(packed.select(key, text_of.alias("_t"), F.struct("block_no", "window_no").alias("_s")), "summaries")

@@ -172,6 +172,12 @@ def test_merging(spark):
     assert out["Y"] == ("only", False) and out["X"][1]
 
 
+def test_summaries_keep_all_blocks_of_the_last_round(spark):
+    big = spark.createDataFrame([(i, "X", f"t{i}") for i in range(9000)] + [(i, "Z", f"z{i}") for i in range(7)], "i int, name string, t string")
+    out = merging.summarise(big, "name", "t", ["i"], lambda ts: F.array_join(ts, " "), budget=1, context=1).collect()
+    assert {r["name"]: sorted(r["description"].split()) for r in out} == {"X": sorted(f"t{i}" for i in range(9000)), "Z": sorted(f"z{i}" for i in range(7))} and len(out) == 2
+
+
 def test_keywords(spark):
     plain = '{"high_level_keywords": ["a ", ""], "low_level_keywords": ["b"]}'
     texts = [plain, f"```json\n{plain}\n```", f"Sure: {plain} - done", '{"highLevelKeywords": ["a"], "lowLevelKeywords": ["b"]}', "nothing", "{broken", None]
