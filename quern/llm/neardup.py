@@ -157,10 +157,18 @@ def similar_classes(texts: DataFrame, k: int = 5, threshold: float = 0.8, min_wo
     gives no rows.
     """
     texts = texts.select("cid", "text").filter(F.col("text").isNotNull())
+    return _similar(texts, _features_of(texts, k, min_words), k, threshold)
+
+
+def _features_of(texts: DataFrame, k: int, min_words: int) -> DataFrame:
+    """``cid, keys, sig`` of the texts with enough words."""
+    return materialise(spread(texts).mapInArrow(_features(k, max(k, min_words)), "cid long, keys array<long>, sig binary"), "neardup-features")
+
+
+def _similar(texts: DataFrame, features: DataFrame, k: int, threshold: float) -> DataFrame:
     # The expected share of differing values at the threshold plus three deviations.
     values = SEGMENTS * ROWS
     budget = int(values * (1 - threshold) + 3 * (values * threshold * (1 - threshold)) ** 0.5)
-    features = materialise(spread(texts).mapInArrow(_features(k, max(k, min_words)), "cid long, keys array<long>, sig binary"), "neardup-features")
     pairs = materialise(_candidates(features), "neardup-candidates")
     sig = features.select("cid", "sig").groupBy("cid").agg(F.first("sig").alias("sig"))
     signed = (pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -201,3 +209,28 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     star = rep.filter("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("similarity"))
     return (across.unionByName(within).unionByName(star)
             .select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"), "similarity"))
+
+
+def link_counts(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 1) -> DataFrame:
+    """Every id with the number of ids of near-equal text: ``id, class_id, n_links``.
+
+    ``class_id`` is the smallest id with the same text.  The count is arithmetic on
+    class sizes, no pair is expanded: the other copies of the text, where it has
+    enough words, and the sizes of the classes linked to it.  Ids without links
+    count 0; a null text has no class.  Rows that repeat an id count once, with
+    the smallest text hash.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null").withColumn("cid", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    ids = materialise(rows.groupBy("id").agg(F.min("cid").alias("cid")), "neardup-ids")
+    texts = rows.select("cid", "text").filter("cid is not null")
+    features = _features_of(texts, k, min_words)
+    links = materialise(_similar(texts, features, k, threshold), "neardup-links")
+    # Only classes of several ids; any other has its one id as class and a size of 1.
+    classes = materialise(ids.filter("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("class_id")).filter("m > 1"), "neardup-classes")
+    enough = features.select("cid").join(classes.select("cid"), "cid", "left_semi").distinct().withColumn("own", F.lit(1))
+    ends = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("other")))
+    across = ends.join(classes.select(F.col("cid").alias("other"), "m"), "other", "left").groupBy("cid").agg(F.sum(F.coalesce("m", F.lit(1))).alias("across"))
+    known = classes.join(enough, "cid", "left").join(across, "cid", "full")
+    n = F.coalesce(F.col("own") * (F.col("m") - 1), F.lit(0)) + F.coalesce("across", F.lit(0))
+    out = ids.join(known.select("cid", "class_id", n.alias("n")), "cid", "left")
+    return out.select("id", F.coalesce("class_id", F.when(F.col("cid").isNotNull(), F.col("id"))).alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.neardup import near_duplicates
+from quern.llm.neardup import link_counts, near_duplicates
 from quern.sources.tables import table
 
 
@@ -18,9 +18,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_chunk_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links per chunk at the default setting: five-word runs, similarity 0.8."""
-    pairs = near_duplicates(table(spark, d, "chunks"), "chunk_id", "content")
-    return pairs.select(F.explode(F.array("id_a", "id_b")).alias("chunk_id")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_links"))
+    """Every chunk with its class of equal texts and its links at the default setting: five-word runs, similarity 0.8."""
+    return link_counts(table(spark, d, "chunks"), "chunk_id", "content").withColumnRenamed("id", "chunk_id")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_chunk_links)}

@@ -125,6 +125,18 @@ def test_large_copy_class_is_a_star_and_blocks_are_exact(spark, monkeypatch):
     assert neardup._candidates(keys).count() == 190
 
 
+def test_link_counts_of_large_classes(spark):
+    t = text(random.Random(5), 60).split()
+    near, lone = " ".join(t[:-1]), text(random.Random(6), 60)
+    data = [(f"c{i:04}", " ".join(t)) for i in range(201)] + [("n1", near), ("n2", near), ("n2", near), ("lone", lone), ("s1", "a b"), ("s2", "a b"), ("null", None)]
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in neardup.link_counts(spark.createDataFrame(data, "id string, t string"), "id", "t").collect()}
+    want = {f"c{i:04}": ("c0000", 202) for i in range(201)} | {"n1": ("n1", 202), "n2": ("n1", 202), "lone": ("lone", 0), "s1": ("s1", 0), "s2": ("s1", 0), "null": (None, 0)}
+    assert got == want
+    few = spark.createDataFrame(data[190:], "id string, t string")
+    pairs = neardup.near_duplicates(few, "id", "t").select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").count()
+    assert rows(pairs, "id") == rows(neardup.link_counts(few, "id", "t").filter("n_links > 0").select("id", "n_links"), "id")
+
+
 # --- splitting --------------------------------------------------------------
 
 @pytest.mark.parametrize("seed", range(6))
