@@ -303,13 +303,21 @@ def summarize_fast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def description_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Descriptions of every relation pair of few relations as JSON lines, for a summary prompt."""
+    """Descriptions of every relation pair of few relations as JSON lines; `description_line_blocks` has all pairs."""
     rows = graph.keyed(_relations(spark, d)).filter("description <> ''")
     few = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < merging.COUNT)
     texts = rows.join(few, ["a", "b"]).groupBy("a", "b").agg(F.array_sort(F.collect_list("description")).alias("ds"))
     return texts.select("a", "b", F.md5(jsontext.json_lines(F.col("ds"))).alias("lines_md5"))
 
 
+def description_line_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions of every relation pair as JSON lines, pairs of many relations in several rows of bounded size."""
+    rows = graph.keyed(_relations(spark, d)).filter("description <> ''").withColumn("pair", F.to_json(F.struct("a", "b")))
+    # The id tells equal descriptions apart, so they spread over the blocks as well.
+    parts = merging.blocks(rows, "pair", "description", ["description", "rel_id"]).withColumn("k", F.from_json("pair", "a string, b string"))
+    return parts.select("k.a", "k.b", "block_no", F.size("parts").alias("n_descriptions"), jsontext.json_lines(F.col("parts")).alias("lines"))
+
+
 def graph_upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Mentions written in order into an empty node table: the last of each name stays."""
     rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at").filter("name <> ''")
@@ -330,7 +338,7 @@ def vector_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    summarize_fast, description_lines, graph_upsert_nodes, events_hourly, vector_manifest, embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
+    summarize_fast, description_lines, description_line_blocks, graph_upsert_nodes, events_hourly, vector_manifest, embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
     graph_canonical_edges, graph_upsert_edges, graph_endpoints, graph_degree, graph_neighbors, graph_bfs_d1, graph_bfs_d2, graph_induced, graph_expand_hits, graph_top_nodes,
     extract_entities, extract_relations, extract_cache_key, extract_cache_split, extract_glean, merge_entities, merge_relations, summarize_windows, summarize_full,
     keywords_parse, keywords_fallback, render_entities, render_relations, pack_chunks, hybrid_chunk_union, entity_union, llm_usage)}

@@ -12,6 +12,7 @@ from quern.functions import vectors as V
 from quern.operators import chunking, docstatus, extraction, graph, hotkeys, merging, prompting, retrieval, store
 from quern.operators import vector_search as VS
 from quern.operators.prompting import QueryParam
+from quern.plans import knowledge
 from quern.sources import snapshots
 from quern.streaming import ingest
 
@@ -178,6 +179,20 @@ def test_summaries_keep_all_blocks_of_the_last_round(spark):
     assert {r["name"]: sorted(r["description"].split()) for r in out} == {"X": sorted(f"t{i}" for i in range(9000)), "Z": sorted(f"z{i}" for i in range(7))} and len(out) == 2
 
 
+def test_description_lines_of_hot_pairs(spark, tmp_path):
+    hot = [(f"r{i}", *(("A", "B") if i % 2 else ("B", "A")), f"d{i % 1500}") for i in range(2500)]
+    data = hot + [("s1", "C", "D", "y"), ("s2", "D", "C", 'x"'), ("s3", "C", "C", "loop"), ("s4", "C", "E", "")]
+    schema = "rel_id string, src_id string, tgt_id string, description string, extracted_at timestamp_ntz"
+    spark.createDataFrame([(*x, None) for x in data], schema).write.parquet(f"{tmp_path}/relations.parquet")
+    out = {}
+    for r in knowledge.description_line_blocks(spark, str(tmp_path)).collect():
+        lines = [json.loads(x)["Description"] for x in r["lines"].split("\n")]
+        assert lines == sorted(lines) and len(lines) == r["n_descriptions"] < 1200
+        out.setdefault((r["a"], r["b"]), []).append(lines)
+    assert set(out) == {("A", "B"), ("C", "D")} and out["C", "D"] == [['x"', "y"]] and len(out["A", "B"]) == 3
+    assert sorted(x for b in out["A", "B"] for x in b) == sorted(x[3] for x in hot)
+
+
 def test_keywords(spark):
     plain = '{"high_level_keywords": ["a ", ""], "low_level_keywords": ["b"]}'
     texts = [plain, f"```json\n{plain}\n```", f"Sure: {plain} - done", '{"highLevelKeywords": ["a"], "lowLevelKeywords": ["b"]}', "nothing", "{broken", None]
