@@ -22,17 +22,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import materialise
+
 #: Rows of a key that one task processes together.
 CHUNK_ROWS = 20_000
 
 
 def _tag(df: DataFrame, key: str) -> DataFrame:
-    """Adds the input partition of each row; null and empty keys are dropped.
+    """Adds the input partition of each row, unless ``_pid`` is given; null and empty keys are dropped.
 
     The source must read the same rows into the same partitions when it is
     computed twice, which holds for file scans.
     """
-    return df.filter(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("_pid", F.spark_partition_id())
+    kept = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    return kept if "_pid" in df.columns else kept.withColumn("_pid", F.spark_partition_id())
 
 
 def key_offsets(df: DataFrame, key: str) -> DataFrame:
@@ -108,19 +111,18 @@ def merged_lists(df: DataFrame, key: str, array: str, segment: int = 1000) -> Da
     """The distinct elements of ``array`` over the rows of each key, in segments.
 
     Returns ``key, segment_no, n_elements, elements``: segment ``i`` holds the
-    elements numbered ``i * segment ..`` of the key, in code-point order within
-    the segment.  A key of a third of all rows thus gives many rows of bounded
-    size, never one unbounded list.  Elements are spread by hash over sub-keys
-    before they are numbered, so neither the distinct nor the numbering puts a
-    whole key into one task.  Null or empty arrays and elements add nothing.
+    elements numbered ``i * segment ..`` of the key in code-point order, so the
+    segments one after the other are the merged list.  A key of a third of all
+    rows thus gives many rows of bounded size, never one unbounded list.  The
+    distinct elements are range-partitioned by key and element, which cuts a large
+    key over partitions, and numbered by exact offset chunking over these.  Null
+    or empty arrays and elements add nothing.
     """
     pairs = (df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
              .select(key, F.explode(array).alias("element")).filter(F.col("element").isNotNull() & (F.col("element") != "")).distinct())
-    sized = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
-    # Keys above one segment are cut by hash into equal sub-keys; the rest need no numbering at all.
-    salted = pairs.join(sized, key).withColumn(
-        "_part", F.pmod(F.xxhash64("element"), F.greatest(F.lit(1), F.ceil(F.col("_m") / segment)).cast("long")))
-    return (salted.groupBy(key, F.col("_part").alias("segment_no"))
+    # The partition is written with the rows, so that both uses see the same.
+    ranged = materialise(pairs.repartitionByRange(key, "element").withColumn("_pid", F.spark_partition_id()), "lists-ranged")
+    return (numbered(ranged, key, ["element"], segment).groupBy(key, F.col("chunk_no").alias("segment_no"))
             .agg(F.array_sort(F.collect_list("element")).alias("elements"))
             .select(key, "segment_no", F.size("elements").alias("n_elements"), "elements"))
 

@@ -48,7 +48,23 @@ def p3_source_lists(spark: SparkSession, d: str) -> DataFrame:
         F.max(F.element_at("elements", -1)).alias("last_source"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_src_totals, p3_element_counts, p3_source_lists)}
+def p3_description_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every mention description."""
+    return hotkeys.key_totals(table(spark, d, "entities").select("description"), "description").withColumnRenamed("n", "n_mentions")
+
+
+def p3_merged_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The merged lists in segments: chunk ids of every relation source and description, mention ids of every chunk id."""
+    relations, entities = table(spark, d, "relations"), table(spark, d, "entities")
+    fields = [
+        ("relations.src_id", relations.select(F.col("src_id").alias("key_value"), F.col("source_ids").alias("xs"))),
+        ("entities.source_ids", entities.select(F.explode("source_ids").alias("key_value"), F.array("mention_id").alias("xs"))),
+        ("entities.description", entities.select(F.col("description").alias("key_value"), F.col("source_ids").alias("xs"))),
+    ]
+    return reduce(DataFrame.unionByName, [hotkeys.merged_lists(df, "key_value", "xs").select(F.lit(name).alias("field_name"), "*") for name, df in fields])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_src_totals, p3_element_counts, p3_description_counts, p3_source_lists, p3_merged_lists)}
 
 SQL = {
     "p3_found": """
@@ -66,6 +82,7 @@ SQL = {
     "p3_element_counts": """
         SELECT source_id, count(*) AS n_mentions FROM (SELECT unnest(source_ids) AS source_id FROM entities)
         WHERE source_id <> '' GROUP BY 1""",
+    "p3_description_counts": "SELECT description, count(*) AS n_mentions FROM entities WHERE description <> '' GROUP BY 1",
     "p3_source_lists": """
         SELECT src_id, count(DISTINCT s) AS n_sources, min(s) AS first_source, max(s) AS last_source
         FROM (SELECT src_id, unnest(source_ids) AS s FROM relations WHERE src_id <> '') WHERE s <> '' GROUP BY 1""",

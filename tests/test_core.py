@@ -12,7 +12,7 @@ from quern.functions import vectors as V
 from quern.operators import chunking, docstatus, extraction, graph, hotkeys, merging, prompting, retrieval, store
 from quern.operators import vector_search as VS
 from quern.operators.prompting import QueryParam
-from quern.plans import knowledge
+from quern.plans import knowledge, skew
 from quern.sources import snapshots
 from quern.streaming import ingest
 
@@ -336,3 +336,19 @@ def test_hot_keys(spark):
     assert rows(hotkeys.heavy_keys(df, "key", 0.02), "key") == [("hot", 600)]
     empty = df.limit(0)
     assert hotkeys.heavy_keys(empty, "key").count() == 0 and hotkeys.chunked_aggregate(empty, "key", "weight").count() == 0 and hotkeys.merged_lists(empty, "key", "xs").count() == 0
+
+
+def test_merged_lists_are_whole_and_in_order(spark, tmp_path):
+    ids = [f"c{i:04}" for i in range(2300)]
+    stamp = "extracted_at timestamp_ntz"
+    spark.createDataFrame([(f"r{i}", "hot", ids[i:i + 3] + ["", None], None) for i in range(2300)] + [("x", "cold", ["b", "a"], None), ("y", "", ["z"], None)],
+                          f"rel_id string, src_id string, source_ids array<string>, {stamp}").write.parquet(f"{tmp_path}/relations.parquet")
+    spark.createDataFrame([(f"m{i}", "same" if i < 4 else None, ["c1", "c1"], None) for i in range(6)], f"mention_id string, description string, source_ids array<string>, {stamp}").write.parquet(f"{tmp_path}/entities.parquet")
+    lists = {}
+    for r in skew.p3_merged_lists(spark, str(tmp_path)).orderBy("segment_no").collect():
+        assert len(r["elements"]) == r["n_elements"] <= 1000
+        lists.setdefault((r["field_name"], r["key_value"]), []).append(r["elements"])
+    assert [len(x) for x in lists["relations.src_id", "hot"]] == [1000, 1000, 300]
+    assert {k: sum(v, []) for k, v in lists.items()} == {("relations.src_id", "hot"): ids, ("relations.src_id", "cold"): ["a", "b"],
+                                                         ("entities.source_ids", "c1"): [f"m{i}" for i in range(6)], ("entities.description", "same"): ["c1"]}
+    assert rows(skew.p3_description_counts(spark, str(tmp_path)), "description") == [("same", 4)]
