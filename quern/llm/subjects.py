@@ -13,7 +13,9 @@ labelling functions then vote on every document and subject:
 How far each vote can be trusted is learned without labels: a latent-class model
 over the vote patterns, fitted by expectation-maximisation, gives the probability
 of each subject for each pattern.  Patterns are few and bounded, so they are the
-only thing collected.
+only thing collected.  Shares of ``SHARE`` and more are anchored as yes, so the
+subjects of a document are decided by the lexicon share alone; the README has
+figures of the variants in which the posterior decides.
 
 The word model is a mixture over statements with a class per subject and one for
 none.  It is fitted on at most ``LABELLED`` labelled documents, where a statement
@@ -308,6 +310,9 @@ def subject_votes(documents: DataFrame, labels: DataFrame, names: list[str], lab
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """``doc_id, subject, share, probability``: probable subjects of at least a fifth of the statements."""
+    """``doc_id, subject, share, probability``: subjects of at least a fifth of the statements.
+
+    The anchors give all of these a probability of 0.95, so the share alone decides.
+    """
     names = [r["subject"] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").collect()]  # a fixed small table
     return subject_votes(documents, labels, names).filter((F.col("probability") >= 0.5) & (F.col("share") >= SHARE))
