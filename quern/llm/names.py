@@ -14,9 +14,11 @@
    a centre, its neighbours join it, and so on among the rest.
 
 Skew: all work is on distinct names and tokens, counted with partial aggregation.
-A token in more than ``COMMON`` names, or in the tables of given names and generic
-words, does not make candidates by itself; names of only such tokens are linked through their whole token set, as a star around its
-smallest member.
+A token in more than ``COMMON`` names makes candidates together with a second part
+of the name (see :func:`_second_keys`), compared in blocks; so does a rare token that
+can be such a token mistyped.  Given names do so in names without any other telling
+token.  Generic words make no candidates; equal token sets are linked as a star
+around their smallest member.
 
 Defined results: null and empty names take no part; names without letters or
 digits are never linked; repeated rows change nothing.
@@ -231,6 +233,31 @@ def _slips(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("ta", "tb")], names=["ta", "tb"])
 
 
+def _second_keys(tokens: list[str], token: str) -> list[str]:
+    """Keys of a name beside ``token``: any two names that are linked through it share one.
+
+    Linked names of more than one token have a second pair of partners.  These agree
+    in the first letter of the word or its formal name (equal words, nicknames,
+    initials), or else one error altered that letter and the last one is equal, or
+    two errors in a long word altered both and the middle is equal.
+    """
+    others = list(tokens)
+    others.remove(token)
+    out = set() if others else {"alone"}
+    for x in others:
+        if x.isdigit():
+            out.add("=" + x)
+            continue
+        out |= {"f" + letter for letter, word in PLACE_LETTERS.items() if word == x}
+        for v in {x} | FORMALS.get(x, set()):
+            out.add("f" + v[0])
+            if len(v) >= 4:
+                out.add("l" + v[-1])
+            if len(v) >= 9:
+                out |= {"m" + v[i : len(v) - j] for i in range(3) for j in range(3)}
+    return sorted(out)
+
+
 def _links(batches):
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("ka", "kb", "xa", "xb", "ca", "cb")]
@@ -265,12 +292,14 @@ def name_links(entities: DataFrame, name_col: str = "name", type_col: str = "typ
     held = names.select("nid", F.explode(F.array_distinct("tokens")).alias("token")).filter(F.length("token") >= 2)
     frequency = materialise(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "names-tokens")
     # Words that are common by their nature make no candidates either: two names that share only these are never linked.
-    telling = (F.col("df") <= COMMON) & ~F.col("token").rlike(r"^\d+$") & ~F.col("token").isin(sorted(FIXED_WORDS | set(FORMALS)))
-    rare = frequency.filter(telling & (F.length("token") >= 4))
-    coded = rare.select(F.xxhash64("token").alias("cid"), "token")
+    given = F.col("token").isin(sorted(set(FORMALS) - FIXED_WORDS))
+    word = ~F.col("token").rlike(r"^\d+$") & ~F.col("token").isin(sorted(FIXED_WORDS))
+    telling = word & ~given & (F.col("df") <= COMMON)
+    coded = frequency.filter(word & (F.length("token") >= 4)).select(F.xxhash64("token").alias("cid"), "token", telling.alias("rare"))
     bands = materialise(coded.mapInArrow(_token_keys, "cid long, keys array<long>"), "names-bands")
-    near = (_candidates(bands).join(coded.select(F.col("cid").alias("a"), F.col("token").alias("ta")), "a")
-            .join(coded.select(F.col("cid").alias("b"), F.col("token").alias("tb")), "b").select("ta", "tb")
+    near = (_candidates(bands).join(coded.select(F.col("cid").alias("a"), F.col("token").alias("ta"), F.col("rare").alias("ra")), "a")
+            # Two common words are never one word mistyped.
+            .join(coded.select(F.col("cid").alias("b"), F.col("token").alias("tb"), F.col("rare").alias("rb")), "b").filter("ra or rb").select("ta", "tb")
             # Two edits with transpositions are at most four without; this test stays in the JVM and keeps every slip.
             .filter((F.abs(F.length("ta") - F.length("tb")) <= 2) & (F.levenshtein("ta", "tb", 4) >= 0)).mapInArrow(_slips, "ta string, tb string"))
     near = materialise(near, "names-slips")
@@ -278,10 +307,25 @@ def name_links(entities: DataFrame, name_col: str = "name", type_col: str = "typ
     same = member.select("token", F.col("nid").alias("a")).join(member.select("token", F.col("nid").alias("b")), "token").filter("a < b").select("a", "b")
     across = (near.join(member.select(F.col("token").alias("ta"), F.col("nid").alias("u")), "ta").join(member.select(F.col("token").alias("tb"), F.col("nid").alias("v")), "tb")
               .filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+    # Common tokens, and rare ones that can be one of them mistyped, lead to names by the common token and a second key.
+    hot = frequency.filter(word & ~given & (F.col("df") > COMMON) & (F.length("token") >= 3)).select("token")
+    plain = held.join(frequency.filter(word & ~given & (F.length("token") >= 3)).select("token"), "token").select("nid").distinct()
+    formal = held.filter(given).join(plain, "nid", "left_anti")
+    typed = near.select(F.col("ta").alias("token"), F.col("tb").alias("anchor")).unionByName(near.select(F.col("tb").alias("token"), F.col("ta").alias("anchor")))
+    typed = typed.join(frequency.filter(word & ~telling).select(F.col("token").alias("anchor")), "anchor", "left_semi")
+    led = (held.join(hot, "token").unionByName(formal).select("nid", "token", F.col("token").alias("anchor"))
+           .unionByName(held.join(typed, "token").select("nid", "token", "anchor")))
+
+    @F.pandas_udf("array<string>")
+    def seconds(tokens, token):
+        return tokens.combine(token, _second_keys)
+
+    keyed = led.join(names.select("nid", "tokens"), "nid").select("nid", "anchor", F.explode(seconds("tokens", "token")).alias("second"))
+    led = materialise(keyed.select(F.col("nid").alias("cid"), F.array(F.xxhash64("anchor", "second")).alias("keys")).distinct(), "names-led")
     whole = names.select(F.array_join(F.array_sort("tokens"), " ").alias("key"), "nid")
     star = (whole.join(whole.groupBy("key").agg(F.min("nid").alias("rep")), "key").filter("nid <> rep")
             .select(F.col("rep").alias("a"), F.col("nid").alias("b")))
-    pairs = same.unionByName(across).unionByName(star).distinct()
+    pairs = same.unionByName(across).unionByName(star).unionByName(_candidates(led)).distinct()
     # The common words of each name travel with it: two different common words are never one word mistyped.
     usual = held.join(frequency.filter(F.col("df") > COMMON), "token").groupBy("nid").agg(F.collect_set("token").alias("common"))
     known = names.join(usual, "nid", "left").select("nid", "tokens", "kind", F.coalesce("common", F.array().cast("array<string>")).alias("common"))

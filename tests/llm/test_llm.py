@@ -262,6 +262,25 @@ def test_variants(spark):
     assert names.variant_pairs(df.limit(0)).count() == 0
 
 
+def test_variants_of_common_tokens_do_not_depend_on_the_cap(spark, monkeypatch):
+    given = ["Bob", "Robert", "J.", "John", "Jonh", "Ingrid", "Mirela", "Xaviera", "Wolfganger", "Ulfganget", "Bartholomeus", "Jartholomeux"]
+    people = [f"{g} Kombras" for g in given] + ["John Kombrsa", "Kombras, Robert", "Kombras", "Kombrsa", "Kombras Group", "Kombras Grp.", "James Thomas", "Jim Thomas", "James Thomass"]
+    df = spark.createDataFrame([(n, "person") for n in people], "name string, type string")
+
+    def links():
+        nodes, found = names.name_links(df)
+        named = {r["nid"]: r["name"] for r in nodes.collect()}
+        return {frozenset((named[r["a"]], named[r["b"]])) for r in found.collect()}
+
+    whole = links()
+    monkeypatch.setattr(names, "COMMON", 3)
+    got = links()
+    for a, b in (("Bob Kombras", "Robert Kombras"), ("J. Kombras", "John Kombras"), ("John Kombrsa", "John Kombras"), ("Kombrsa", "Kombras"), ("Kombras Group", "Kombras Grp."), ("James Thomas", "Jim Thomas"), ("James Thomas", "James Thomass"),
+                 ("Bartholomeus Kombras", "Jartholomeux Kombras")):
+        assert frozenset((a, b)) in got
+    assert got == whole
+
+
 # --- packing and mixing -----------------------------------------------------
 
 @pytest.mark.parametrize("seed", range(5))
