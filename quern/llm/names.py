@@ -2,8 +2,10 @@
 
 1. Each distinct name becomes a list of plain tokens: accents, case, quotes,
    titles and letters typed as digits are levelled, abbreviations written out.
-2. Distinct tokens that are not common words get min-wise hashes of their padded
-   q-grams; bands of ``ROWS`` hashes make candidate pairs of tokens.  The number
+2. Distinct tokens that are no generic words get keys that make candidate pairs.
+   Up to ``SHORT`` letters these are the token without each letter, which finds
+   every single error.  From there on they are bands of ``ROWS`` min-wise hashes of
+   padded q-grams.  The number
    of bands is tuned from the collision curve ``1 - (1 - J^r)^b`` (see
    :func:`bands_for`).  Pairs within one edit (two in long tokens) are kept.
 3. Names that share a token, or hold two linked ones, are compared by a
@@ -78,6 +80,8 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
 
 #: One error in a token of ten letters leaves 8 of 16 padded 3-grams in common.
 BANDS = bands_for(0.5, 0.995)
+#: Letters up to which tokens have exact keys: a slip with a token of less than nine letters is one error, so the other has nine at most.
+SHORT = 9
 
 
 def tokens_of(name: str) -> list[str]:
@@ -206,7 +210,13 @@ def _grams(token: str) -> list[str]:
     return [padded[i : i + Q] for i in range(len(padded) - Q + 1)]
 
 
+def _deletions(token: str) -> set[str]:
+    """The token and what is left of it without one letter: tokens within one error share one of these."""
+    return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))}
+
+
 def _token_keys(batches):
+    """Keys of tokens: deletions up to ``SHORT`` letters, bands from ``SHORT`` letters on."""
     import zlib
 
     odd = (np.random.default_rng(6).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -214,17 +224,24 @@ def _token_keys(batches):
         tokens = batch.column("token").to_pylist()
         if not tokens:
             continue
-        keys = np.empty((len(tokens), BANDS), np.uint64)
+        keys = []
         with np.errstate(over="ignore"):
-            for i, t in enumerate(tokens):
-                h = wordhash.mix64(np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in _grams(t)], np.uint64))
-                low = ((h[:, None] * odd[None, :]) >> np.uint64(16)).min(axis=0).reshape(BANDS, ROWS)
-                k = np.arange(1, BANDS + 1, dtype=np.uint64)
-                for r in range(ROWS):
-                    k = wordhash.mix64(k * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-                keys[i] = k
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(
-            pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))], names=["cid", "keys"])
+            for t in tokens:
+                own = []
+                if len(t) <= SHORT:
+                    left = [x.encode("utf-8", "surrogatepass") for x in sorted(_deletions(t))]
+                    # Two checksums make one number, which differs from those of bands.
+                    own.append(wordhash.mix64(np.array([zlib.crc32(x) << 32 | zlib.adler32(x) for x in left], np.uint64)))
+                if len(t) >= SHORT:
+                    h = wordhash.mix64(np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in _grams(t)], np.uint64))
+                    low = ((h[:, None] * odd[None, :]) >> np.uint64(16)).min(axis=0).reshape(BANDS, ROWS)
+                    k = np.arange(1, BANDS + 1, dtype=np.uint64)
+                    for r in range(ROWS):
+                        k = wordhash.mix64(k * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+                    own.append(k)
+                keys.append(np.unique(np.concatenate(own)))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], names=["cid", "keys"])
 
 
 def _slips(batches):

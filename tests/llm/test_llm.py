@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,18 @@ def test_bands_follow_the_collision_curve():
         assert 1 - (1 - j**names.ROWS) ** b >= 0.95 > 1 - (1 - j**names.ROWS) ** (b - 1)
 
 
+def test_all_slips_of_short_tokens_are_candidates():
+    rng, letters, pairs = random.Random(7), "abcdefghijklmnopqrstuvwxyz", []
+    for n in (4, 5, 6, 7, 8):
+        for _ in range(60):
+            t, i = [rng.choice(letters) for _ in range(n)], rng.randrange(n - 1)
+            for u in (t[:i] + [t[i + 1], t[i]] + t[i + 2:], t[:i] + [rng.choice(letters)] + t[i + 1:], t[:i] + [rng.choice(letters)] + t[i:]):
+                pairs.append(("".join(t), "".join(u)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * len(pairs)), pa.int64()), pa.array([x for p in pairs for x in p])], names=["cid", "token"])
+    keys = next(names._token_keys([batch])).column("keys").to_pylist()
+    assert all(names.slip(a, b) for a, b in pairs) and all(set(keys[2 * i]) & set(keys[2 * i + 1]) for i in range(len(pairs)))
+
+
 def test_variants(spark):
     people = [("Zachary Linkras", "person"), ("zack linkras", "Person"), ("Linkras, Z.", None), ("Zachary Linkrsa", "x"), ("Ingrid Linkras", "person"), ("Linkras Prize", "concept"), ("", "person"), (None, None), ("!!", "person"),
               ("Lake Vosbuk", "location"), ("L. Vosbuk", "LOC"), ("Lower Vosbuk", "place"), ("12", "x")]
