@@ -1,27 +1,30 @@
 """Subject areas of documents by weak supervision.
 
 Statements (sentences) are taken from a text without speaker labels, the user's
-turns, headings, field names, list marks and reference lists.  Four kinds of
-labelling functions then vote on every document and subject:
+turns, headings, field names, list marks and reference lists.  Four labelling
+functions vote on the subject of every statement, one of the subjects or none:
 
-* lexicon - the share of the statements that a word model gives to the subject,
-  in bins;
-* section - whether the subject leads the first section and whether it leads any;
-* address and source - how much more often than elsewhere the subject leads the
-  documents of the same folder, and of the same source.
+* lexicon - the class a word model gives the statement, with three levels of
+  certainty; no vote without a known word;
+* section - the class that leads the other statements of its section (of the
+  document, where a section has one statement only);
+* address and source - the subject that leads the documents of the folder, and of
+  the source, if it leads at least ``LEAD`` of them and twice its overall share.
 
 How far each vote can be trusted is learned without labels: a latent-class model
-over the vote patterns, fitted by expectation-maximisation, gives the probability
-of each subject for each pattern.  Patterns are few and bounded, so they are the
-only thing collected.  Shares of ``SHARE`` and more are anchored as yes, so the
-subjects of a document are decided by the lexicon share alone; the README has
-figures of the variants in which the posterior decides.
+over the vote patterns, fitted by expectation-maximisation from the lexicon's
+votes, gives the probability of each class for each pattern.  Patterns are few and
+bounded, so they are the only thing collected.  A document's probability of a
+subject is that of at least a fifth of its statements having it, from the
+statements' probabilities; it has the subjects of probability ``YES`` and more.
 
 The word model is a mixture over statements with a class per subject and one for
 none.  It is fitted on at most ``LABELLED`` labelled documents, where a statement
 may belong to the document's labels or to none (labels may be wrong), and its
 word counts are then taken again over all statements of all documents.  English
-and Spanish count by word, Chinese by pairs of characters.
+and Spanish count by word, Chinese by pairs of characters.  Words are numbered by
+a hash below ``BUCKETS``, which bounds the model whatever the vocabulary; each text
+is read and parsed once, what follows works on the numbers.
 
 Defined results: null and blank texts and texts without statements have no
 subjects; a null source or path casts no vote; a repeated label counts once; a
@@ -32,6 +35,8 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +45,20 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import materialise, spread
 
-LABELLED, ROUNDS, SHARE = 6_000, 12, 0.2
-#: Words seen in fewer than this share of all word places are left out, which bounds the lexicon by its inverse.
-LEAST_SHARE, LEAST_COUNT = 2e-6, 3
+LABELLED, ROUNDS, YES = 6_000, 12, 0.5
+#: A document has a subject if one statement in so many belongs to it.
+PART = 5
+#: Word numbers; a word model has at most so many rows.
+BUCKETS = 1 << 18
 #: Probability from which a statement's class is counted in the second fit.
 SURE = 0.9
+#: Certainty levels of the lexicon's votes.
+LEVELS = (0.9, 0.999, 1 - 1e-6)
+#: Share of the documents of a folder or source that its subject leads, and the least number of documents.
+LEAD, LEAD_COUNT = 1 / 3, 5
+#: Times its own votes that a function's stated accuracy counts.
+TRUST = 1
+VOTES = ("lexicon", "section", "address", "source")
 
 _MARK = re.compile(r"^\s*(?:[-*•>]\s+|\d+[.)]\s+)+")
 _SPEAKER = re.compile(r"^\s*(user|human|assistant|system|agent|customer|ai|q|a)\s*[:：]\s*", re.I)
@@ -108,211 +122,346 @@ def features(statement: str) -> list[str]:
     return words + [run[i : i + 2] for run in _HAN.findall(low) for i in range(len(run) - 1)]
 
 
-class WordModel:
-    """Log probabilities of words per class; the last class is none."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, prior: np.ndarray):
-        self.index = {w: i for i, w in enumerate(words)}
-        a = 0.1
-        p = (counts + a) / (counts.sum(axis=0, keepdims=True) + a * max(len(words), 1))
-        self.log = np.log(p)
-        self.prior = np.log(prior / prior.sum())
-
-    def posterior(self, statements: list[str], allowed: np.ndarray | None = None) -> np.ndarray:
-        """Class probabilities of each statement; one without known words is none."""
-        rows, starts = [], []
-        get = self.index.get
-        for s in statements:
-            starts.append(len(rows))
-            rows.extend(i for w in features(s) if (i := get(w)) is not None)
-        starts.append(len(rows))
-        score = np.tile(self.prior, (len(statements), 1))
-        cum = np.vstack([np.zeros((1, self.log.shape[1])), np.cumsum(self.log[rows], axis=0)]) if rows else np.zeros((1, self.log.shape[1]))
-        score += cum[starts[1:]] - cum[starts[:-1]]
-        if allowed is not None:
-            score = np.where(allowed, score, -np.inf)
-        empty = np.diff(starts) == 0
-        score -= score.max(axis=1, keepdims=True)
-        p = np.exp(score)
-        p /= p.sum(axis=1, keepdims=True)
-        p[empty] = 0
-        p[empty, -1] = 1
-        return p
-
-
-def fit_labelled(texts: list[str], labels: list[set[int]], classes: int, rounds: int = ROUNDS) -> WordModel:
+def numbers(words: list[str], known: dict[str, int]) -> list[int]:
+    """Bucket numbers of words; ``known`` remembers those met before."""
+    out = list(map(known.get, words))
+    if None in out:
+        for i, n in enumerate(out):
+            if n is None:
+                known[words[i]] = out[i] = zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % BUCKETS
+    return out
+
+
+def _parse(batches):
+    """Each text once: word numbers, and word end and section of every statement, as packed integers."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        rows: list[tuple] = []
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            words: list[int] = []
+            ends, parts = [], []
+            for k, part in enumerate(sections(t)):
+                for statement in part:
+                    words += numbers(features(statement), known)
+                    ends.append(len(words))
+                    parts.append(k)
+            if ends:
+                rows.append((i, *(np.array(x, np.int32).tobytes() for x in (words, ends, parts))))
+        if len(known) > 500_000:
+            known.clear()
+        at, *packed = zip(*rows) if rows else ((), (), (), ())
+        kept = batch.select(["doc_id", "folder", "source"]).take(pa.array(at, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.binary()) for x in packed)], names=["doc_id", "folder", "source", "words", "ends", "parts"])
+
+
+def _unpack(words: list[bytes], ends: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all statements, the words of each, and the statements of each document."""
+    flat = np.frombuffer(b"".join(words), np.int32)
+    sizes = np.array([len(e) // 4 for e in ends], np.int64)
+    stops = np.frombuffer(b"".join(ends), np.int32).astype(np.int64)
+    counts = np.diff(stops, prepend=0)
+    starts = np.cumsum(sizes) - sizes
+    counts[starts[sizes > 0]] = stops[starts[sizes > 0]]
+    return flat, counts, sizes
+
+
+#: A word model as plain arrays: row of each bucket or -1, log probabilities (row, class), log priors; the last class is none.
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def word_model(buckets: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> Model:
+    a = 0.1
+    p = (counts + a) / (counts.sum(axis=0, keepdims=True) + a * max(len(buckets), 1))
+    index = np.full(BUCKETS, -1, np.int32)
+    index[buckets] = np.arange(len(buckets), dtype=np.int32)
+    return index, np.log(p).astype(np.float32), np.log(prior / prior.sum())
+
+
+def posterior(model: Model, flat: np.ndarray, counts: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Class probabilities of each statement, and whether it has a known word."""
+    index, log, prior = model
+    rows = index[flat]
+    owner = np.repeat(np.arange(len(counts)), counts)[rows >= 0]
+    rows = rows[rows >= 0]
+    score = np.stack([np.bincount(owner, weights=log[:, c][rows], minlength=len(counts)) for c in range(log.shape[1])], axis=1) + prior
+    if allowed is not None:
+        score = np.where(allowed, score, -np.inf)
+    score -= score.max(axis=1, keepdims=True)
+    p = np.exp(score)
+    p /= p.sum(axis=1, keepdims=True)
+    seen = np.zeros(len(counts), bool)
+    seen[owner] = True
+    p[~seen] = 0
+    p[~seen, -1] = 1
+    return p, seen
+
+
+def fit_labelled(words: list[bytes], ends: list[bytes], labels: list[set[int]], classes: int, rounds: int = ROUNDS) -> Model:
     """The word model from labelled documents; class ``classes`` is none."""
-    statements, allowed = [], []
-    for text, given in zip(texts, labels):
-        own = [s for part in sections(text) for s in part]
-        statements += own
-        row = np.zeros(classes + 1, bool)
-        row[list(given)] = True
-        row[-1] = True
-        allowed += [row] * len(own)
-    vocabulary: dict[str, int] = {}
-    flat, owner = [], []
-    for i, s in enumerate(statements):
-        for w in features(s):
-            flat.append(vocabulary.setdefault(w, len(vocabulary)))
-            owner.append(i)
-    flat, owner, may = np.array(flat, np.int64), np.array(owner, np.int64), np.array(allowed, bool).reshape(-1, classes + 1)
-
-    def count(p: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(flat, weights=p[owner, c], minlength=len(vocabulary)) for c in range(classes + 1)], axis=1)
-
+    flat, counts, sizes = _unpack(words, ends)
+    may = np.zeros((len(sizes), classes + 1), bool)
+    for row, given in zip(may, labels):
+        row[[*given, classes]] = True
+    may = np.repeat(may, sizes, axis=0)
+    buckets, place = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(counts)), counts)
     start = may.astype(float)
     start[:, -1] = 0.5
     p = start / start.sum(axis=1, keepdims=True)
-    model = None
-    for _ in range(rounds):
-        model = WordModel(list(vocabulary), count(p), p.sum(axis=0) + 1)
-        p = model.posterior(statements, may)
-    return model or WordModel([], np.zeros((0, classes + 1)), np.ones(classes + 1))
+    model = word_model(buckets, np.zeros((len(buckets), classes + 1)), np.ones(classes + 1))
+    for _ in range(rounds if len(flat) else 0):
+        count = np.stack([np.bincount(place, weights=p[owner, c], minlength=len(buckets)) for c in range(classes + 1)], axis=1)
+        model = word_model(buckets, count, p.sum(axis=0) + 1)
+        p, _seen = posterior(model, flat, counts, may)
+    return model
 
 
 def _recount(shared, classes: int):
+    """Word counts of the sure statements by class, one row a bucket and task."""
+    width = classes + 1
+
     def run(batches):
-        model = shared.value
+        codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            statements = [s for t in batch.column("text").to_pylist() for part in sections(t) for s in part]
-            if not statements:
-                continue
-            p = model.posterior(statements)
-            sure = p.max(axis=1) >= SURE
-            best = p.argmax(axis=1)
-            words: dict[str, int] = {}
-            flat, cls = [], []
-            for s, ok, c in zip(statements, sure, best):
-                if ok:
-                    for w in features(s):
-                        flat.append(words.setdefault(w, len(words)))
-                        cls.append(c)
-            counts = np.bincount(np.array(flat, np.int64) * (classes + 1) + np.array(cls, np.int64), minlength=len(words) * (classes + 1)).reshape(-1, classes + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), *(pa.array(counts[:, c], pa.int64()) for c in range(classes + 1))],
-                                             names=["word", *(f"n{c}" for c in range(classes + 1))])
+            flat, counts, _ = _unpack(batch.column("words").to_pylist(), batch.column("ends").to_pylist())
+            p, _seen = posterior(shared.value, flat, counts)
+            cls = np.repeat(np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), -1), counts)
+            new, n = np.unique(flat[cls >= 0].astype(np.int64) * width + cls[cls >= 0], return_counts=True)
+            codes, place = np.unique(np.r_[codes, new], return_inverse=True)
+            sums = np.bincount(place, weights=np.r_[sums, n], minlength=len(codes)).astype(np.int64)
+        buckets, place = np.unique(codes // width, return_inverse=True)
+        table = np.zeros((len(buckets), width), np.int64)
+        table[place, codes % width] = sums
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *(pa.array(table[:, c]) for c in range(width))], names=["bucket", *(f"n{c}" for c in range(width))])
 
     return run
 
 
-def fit_corpus(documents: DataFrame, first: WordModel, classes: int) -> WordModel:
+def fit_corpus(parsed: DataFrame, first: Model, classes: int) -> Model:
     """The word model with its counts taken over all documents."""
-    spark = documents.sparkSession
     names = [f"n{c}" for c in range(classes + 1)]
-    counted = spread(documents.select("text").filter("text <> ''")).mapInArrow(
-        _recount(spark.sparkContext.broadcast(first), classes), "word string, " + ", ".join(f"{n} long" for n in names))
-    summed = materialise(counted.groupBy("word").agg(*[F.sum(n).alias(n) for n in names], F.sum(sum(F.col(n) for n in names)).alias("n")), "subjects-words")
-    whole = summed.agg(F.sum("n").alias("n")).first()["n"] or 0
-    # At most 1 / LEAST_SHARE words can reach this count.
-    kept = summed.filter(F.col("n") >= max(LEAST_COUNT, LEAST_SHARE * whole)).toArrow()
-    counts = np.stack([kept.column(n).to_numpy() for n in names], axis=1).astype(float) if kept.num_rows else np.zeros((0, classes + 1))
-    return WordModel(kept.column("word").to_pylist(), counts, counts.sum(axis=0) + 1)
+    counted = parsed.select("words", "ends").mapInArrow(_recount(parsed.sparkSession.sparkContext.broadcast(first), classes), "bucket long, " + ", ".join(f"{n} long" for n in names))
+    kept = counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most BUCKETS rows
+    counts = np.stack([kept.column(n).to_numpy() for n in names], axis=1).astype(float)
+    return word_model(kept.column("bucket").to_numpy(), counts, counts.sum(axis=0) + 1)
+
+
+def _lead(n: np.ndarray) -> np.ndarray:
+    """The leading class of each row of counts, -1 where all are 0."""
+    return np.where(n.max(axis=1) > 0, n.argmax(axis=1), -1)
 
 
 def _vote(shared, classes: int):
-    """Per document and subject: share of statements, and section votes."""
+    """Lexicon and section votes of every statement as bytes, and the subject that leads the document."""
+    width = classes + 1
+
+    def counted(group: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        return np.bincount(group * width + cls, minlength=(int(group.max()) + 1) * width).reshape(-1, width)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            docs, parts, statements = [], [], []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for k, part in enumerate(sections(t)):
-                    docs += [d] * len(part)
-                    parts += [k] * len(part)
-                    statements += part
-            if not statements:
+            if not batch.num_rows:
                 continue
-            best = model.posterior(statements).argmax(axis=1)
-            docs, parts = np.array(docs), np.array(parts)
-            starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-            ends = np.r_[starts[1:], len(docs)]
-            out: list[tuple] = []
-            for a, b in zip(starts, ends):
-                n = np.bincount(best[a:b], minlength=classes + 1)
-                first = np.bincount(best[a:b][parts[a:b] == parts[a]], minlength=classes + 1)[:classes]
-                leads = set()
-                for k in np.unique(parts[a:b]):
-                    c = np.bincount(best[a:b][parts[a:b] == k], minlength=classes + 1)[:classes]
-                    if c.max() > 0:
-                        leads.add(int(c.argmax()))
-                for c in np.flatnonzero(n[:classes]):
-                    section = 2 if first.max() > 0 and first.argmax() == c else 1 if int(c) in leads else 0
-                    out.append((int(docs[a]), int(c), int(n[c]), int(b - a), section))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.int32()) for x in cols[1:])],
-                                             names=["doc_id", "subject_no", "hits", "statements", "section"])
+            flat, counts, sizes = _unpack(batch.column("words").to_pylist(), batch.column("ends").to_pylist())
+            parts = np.frombuffer(b"".join(batch.column("parts").to_pylist()), np.int32)
+            p, seen = posterior(shared.value, flat, counts)
+            cls = p.argmax(axis=1)
+            lexicon = np.where(seen, cls * (len(LEVELS) + 1) + np.searchsorted(LEVELS, p.max(axis=1), side="right"), width * (len(LEVELS) + 1))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            group = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (parts[1:] != parts[:-1])])
+            own = np.eye(width, dtype=np.int64)[cls]
+            whole = counted(doc, cls)
+            beside = _lead(counted(group, cls)[group] - own)
+            section = np.where(beside >= 0, beside, _lead(whole[doc] - own))
+            section[section < 0] = width
+            lead = _lead(whole[:, :classes])
+            ends = np.cumsum(sizes)
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends - sizes, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "folder", "source")), cut(lexicon.astype(np.uint8)), cut(section.astype(np.uint8)), pa.array(lead, pa.int32()).filter(pa.array(lead > -2))],
+                names=["doc_id", "folder", "source", "lexicon", "section", "lead"])
 
     return run
 
 
-def latent_posterior(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, fixed: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Probability of the latent yes for each pattern of categorical votes.
+def _relations(votes: np.ndarray, answers: int, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How the votes of one group stand to each answer: a code, and the log probability of the differing values.
 
-    ``patterns`` has a row per pattern and a column per labelling function.
-    Accuracies (the vote distributions given yes and no) are learned by EM from
-    ``start``; votes are independent given the answer.  Patterns marked ``fixed``
-    keep their start: without such anchors the latent answer drifts to whether a
-    subject dominates its document.
+    Each vote abstains, agrees or differs; functions that differ from the answer in
+    the same way count as one, since they share the cause.
+    """
+    y = np.arange(answers)[None, :]
+    code, others, value = np.zeros((len(votes), answers), np.int64), np.zeros((len(votes), answers), np.int64), np.zeros((len(votes), answers))
+    for j, v in enumerate(votes.T):
+        v = v[:, None]
+        differs = (v < answers) & (v != y)
+        code = code * 3 + np.where(v >= answers, 0, np.where(v == y, 1, 2))
+        fresh = differs & ~np.any([votes[:, [i]] == v for i in range(j)] or [np.zeros_like(differs)], axis=0)
+        others += fresh
+        value += np.where(fresh, np.log(np.maximum(usual, 1e-9))[np.minimum(v, answers - 1)] - np.log(np.maximum(1 - usual, 1e-9))[None, :], 0)
+    return code * (votes.shape[1] + 1) + others, value
+
+
+def latent_posterior(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, fixed: np.ndarray, rounds: int = 50,
+                     groups: list[list[int]] | None = None, kinds: np.ndarray | None = None, trust: dict[int, float] | None = None) -> np.ndarray:
+    """Probability of the latent answer for each pattern of categorical votes.
+
+    ``patterns`` has a row per pattern and a column per labelling function, with the
+    number of an answer, or a larger one for no vote.  ``groups`` lists the columns
+    that depend on each other given the answer; their agreement with the answer is
+    learned jointly, and groups are independent.  How often the functions agree with
+    the answer is learned by EM from ``start``, one rate for each of the ``kinds`` of
+    answers (all alike by default).  ``trust`` gives the accuracy that a function
+    alone in its group has by itself; it counts as ``TRUST`` times the function's
+    votes, without which the answer drifts to what leads a document.  ``start`` has a column per answer, or is the
+    probability of yes alone, and so is the result.  Patterns marked ``fixed`` keep
+    their start.
     """
-    p = start.astype(float)
+    begin = start if start.ndim == 2 else np.stack([1 - start, start], axis=1)
+    p, answers = begin.astype(float), begin.shape[1]
+    kinds = np.zeros(answers, np.int64) if kinds is None else kinds
+    known = []
+    for group in groups if groups is not None else [[f] for f in range(patterns.shape[1])]:
+        votes = patterns[:, group]
+        usual = sum(np.bincount(v[v < answers], weights=counts[v < answers], minlength=answers) for v in votes.T) + 1e-6
+        code, value = _relations(votes, answers, usual / usual.sum())
+        # Codes of a lone vote: 0 none, 2 agrees, 5 differs.
+        own = np.flatnonzero(votes[:, 0] < answers) if trust and len(group) == 1 and group[0] in trust else None
+        known.append((code, value, max(int(code.max()) + 1, 6), own, trust[group[0]] if own is not None else 0.0))
     for _ in range(rounds):
-        prior = float(np.clip((p * counts).sum() / counts.sum(), 1e-6, 1 - 1e-6))
-        yes, no = np.full(len(p), np.log(prior)), np.full(len(p), np.log(1 - prior))
-        for f in range(patterns.shape[1]):
-            v = patterns[:, f]
-            for target, weight in ((yes, p * counts), (no, (1 - p) * counts)):
-                by = np.bincount(v, weights=weight, minlength=v.max() + 1) + 0.5
-                target += np.log(by / by.sum())[v]
-        p = np.where(fixed, start, 1 / (1 + np.exp(np.clip(no - yes, -500, 500))))
-    return p
-
-
-def subject_votes(documents: DataFrame, labels: DataFrame, names: list[str], labelled: int = LABELLED) -> DataFrame:
-    """``doc_id, subject, share, probability`` for every subject some statement belongs to."""
+        weight = p * counts[:, None]
+        score = np.log(np.clip(weight.sum(axis=0) / counts.sum(), 1e-6, 1 - 1e-6))[None, :].repeat(len(p), axis=0)
+        for code, value, width, own, sure in known:
+            rate = np.bincount((code + width * kinds[None, :]).ravel(), weights=weight.ravel(), minlength=width * (int(kinds.max()) + 1)).reshape(-1, width) + 0.5
+            if own is not None:
+                voted = rate[:, 2] + rate[:, 5]
+                right = (rate[:, 2] + TRUST * voted * sure) / (1 + TRUST) / voted
+                rate[:, 2], rate[:, 5] = voted * right, voted * (1 - right)
+            rate /= rate.sum(axis=1, keepdims=True)
+            score += np.log(rate)[kinds[None, :], code] + value
+        score -= score.max(axis=1, keepdims=True)
+        fresh = np.exp(score)
+        fresh /= fresh.sum(axis=1, keepdims=True)
+        p = np.where(fixed[:, None], begin, fresh)
+    return p if start.ndim == 2 else p[:, 1]
+
+
+def _patterns(batch: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vote pattern of every statement as one number, and the statements of each document."""
+    votes = [batch.column(c).to_pylist() for c in ("lexicon", "section")]
+    sizes = np.array([len(x) for x in votes[0]], np.int64)
+    lexicon, section = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in votes)
+    code = lexicon * (classes + 2) + section
+    for c in ("address", "origin"):
+        code = code * (classes + 1) + np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes)
+    return code, sizes
+
+
+def _count_patterns(classes: int):
+    def run(batches):
+        for batch in batches:
+            codes, n = np.unique(_patterns(batch, classes)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+
+    return run
+
+
+def _decide(shared, classes: int):
+    """Probability of every subject from the statements' probabilities: that at least one in ``PART`` has it."""
+    def run(batches):
+        codes, p = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, sizes = _patterns(batch, classes)
+            each = p[np.searchsorted(codes, code)]
+            starts = np.cumsum(sizes) - sizes
+            mean, spread_ = np.add.reduceat(each, starts, axis=0), np.add.reduceat(each * (1 - each), starts, axis=0)
+            # The number of such statements is a sum of independent draws; its distribution is taken as normal.
+            need = -(-sizes // PART) - 0.5
+            doc, subject = np.nonzero(mean[:, :classes] >= 0.05)
+            z = (mean[doc, subject] - need[doc]) / np.sqrt(spread_[doc, subject] + 1e-6)
+            normal = NormalDist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(subject, pa.int32()), pa.array(mean[doc, subject] / sizes[doc]), pa.array([normal.cdf(x) for x in z], pa.float64())],
+                names=["doc_id", "subject_no", "share", "probability"])
+
+    return run
+
+
+def _leaders(voted: DataFrame, column: str, alias: str, base: dict[int, float]) -> DataFrame:
+    """``column, alias``: the subject that leads the documents of a folder or source, where one does."""
+    seen = voted.filter(F.col(column).isNotNull() & (F.col("lead") >= 0)).groupBy(column, "lead").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.groupBy(column).agg(F.max_by("lead", F.struct("n", "lead")).alias(alias), F.max("n").alias("n"), F.sum("n").alias("all"))
+    usual = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col(alias)) if base else F.lit(1.0)
+    return top.filter((F.col("all") >= LEAD_COUNT) & (F.col("n") >= F.col("all") * LEAD) & (F.col("n") >= F.col("all") * usual * 2)).select(column, alias)
+
+
+def subject_votes(documents: DataFrame, labels: DataFrame, names: list[str], labelled: int = LABELLED, use: tuple[str, ...] = VOTES) -> DataFrame:
+    """``doc_id, subject, share, probability`` for every subject some statement may belong to.
+
+    ``use`` names the labelling functions whose votes the latent model sees.
+    """
     spark, classes = documents.sparkSession, len(names)
     number = {s: i for i, s in enumerate(names)}
-    given = (labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-             .join(documents.select("doc_id", "text").filter("text <> ''"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect())
-    first = fit_labelled([r["text"] for r in given], [{number[s] for s in r["subjects"]} for r in given], classes)
-    model = fit_corpus(documents, first, classes)
-    texts = spread(documents.select("doc_id", "text").filter("doc_id is not null and text <> ''"))
-    votes = texts.mapInArrow(_vote(spark.sparkContext.broadcast(model), classes), "doc_id long, subject_no int, hits int, statements int, section int")
     folder = F.nullif(F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1), F.lit(""))
-    place = documents.select("doc_id", folder.alias("folder"), "source")
-    votes = materialise(votes.join(place, "doc_id").withColumn("share", F.col("hits") / F.col("statements")), "subjects-votes")
-
-    def lift(column: str) -> DataFrame:
-        """How often a subject leads the documents of a folder or source, against its share overall."""
-        seen = votes.filter(F.col("share") >= 0.5).groupBy(column, "subject_no").agg(F.count(F.lit(1)).alias("n")).filter(F.col(column).isNotNull())
-        total = seen.groupBy(column).agg(F.sum("n").alias("all"))
-        base = votes.filter(F.col("share") >= 0.5).groupBy("subject_no").agg(F.count(F.lit(1)).alias("m"))
-        every = base.agg(F.sum("m").alias("every"))
-        ratio = (F.col("n") / F.col("all")) / (F.col("m") / F.col("every"))
-        level = F.when(F.col("all") < 5, 0).when(ratio >= 2, 2).when(ratio <= 0.5, 1).otherwise(0)
-        return (seen.join(total, column).join(F.broadcast(base), "subject_no").crossJoin(F.broadcast(every))  # one row a subject; one row
-                .select(column, "subject_no", level.alias(f"by_{column}")))
-
-    share = F.col("share")
-    binned = F.when(share >= 0.5, 5).when(share >= 0.35, 4).when(share >= SHARE, 3).when(share >= 0.15, 2).when(share >= 0.08, 1).otherwise(0)
-    told = (votes.join(lift("folder"), ["folder", "subject_no"], "left").join(lift("source"), ["source", "subject_no"], "left")
-            .select("doc_id", "subject_no", "share", binned.alias("lexicon"), "section", F.coalesce("by_folder", F.lit(0)).alias("address"), F.coalesce("by_source", F.lit(0)).alias("origin")))
-    told = materialise(told, "subjects-told")
-    keys = ["lexicon", "section", "address", "origin"]
-    seen = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 6 * 3 * 3 * 3 patterns
-    if not seen.num_rows:
-        return told.select("doc_id", F.lit(None).cast("string").alias("subject"), "share", F.lit(None).cast("double").alias("probability")).limit(0)
-    patterns = np.stack([seen.column(k).to_numpy() for k in keys], axis=1)
-    p = latent_posterior(patterns, seen.column("n").to_numpy().astype(float), np.where(patterns[:, 0] >= 3, 0.95, 0.05), (patterns[:, 0] >= 3) | (patterns[:, 0] == 0))
-    table = spark.createDataFrame([(*map(int, x), float(y)) for x, y in zip(patterns, p)], ", ".join(f"{k} int" for k in keys) + ", probability double")
-    subject = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("subject_no") + 1)
-    return told.join(F.broadcast(table), keys).select("doc_id", subject.alias("subject"), "share", "probability")
-
-
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """``doc_id, subject, share, probability``: subjects of at least a fifth of the statements.
-
-    The anchors give all of these a probability of 0.95, so the share alone decides.
+    texts = spread(documents.select("doc_id", "text", folder.alias("folder"), "source").filter("doc_id is not null and text <> ''"))
+    parsed = materialise(texts.mapInArrow(_parse, "doc_id long, folder string, source string, words binary, ends binary, parts binary"), "subjects-parsed")
+    # The sample is taken by a hash of the id among the documents that have labels.
+    given = (labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    sample = parsed.select("doc_id", "words", "ends").join(F.broadcast(given), "doc_id").collect()  # at most ``labelled`` rows on either side
+    sample.sort(key=lambda r: r["doc_id"])
+    first = fit_labelled([r["words"] for r in sample], [r["ends"] for r in sample], [{number[s] for s in r["subjects"]} for r in sample], classes)
+    model = fit_corpus(parsed, first, classes)
+    voted = materialise(parsed.mapInArrow(_vote(spark.sparkContext.broadcast(model), classes), "doc_id long, folder string, source string, lexicon binary, section binary, lead int"), "subjects-voted")
+    leads = {r["lead"]: r["n"] for r in voted.filter("lead >= 0").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a subject
+    base = {k: n / sum(leads.values()) for k, n in leads.items()}
+    # Documents without a folder or source are spread over keys that no table holds.
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id"), F.lit(4096)))
+    told = voted.withColumns({c: F.coalesce(c, none) for c in ("folder", "source")})
+    told = told.join(_leaders(voted, "folder", "address", base), "folder", "left").join(_leaders(voted, "source", "origin", base), "source", "left")
+    told = materialise(told.select("doc_id", "lexicon", "section", *[F.coalesce(c, F.lit(classes)).alias(c) for c in ("address", "origin")]), "subjects-told")
+    seen = told.mapInArrow(_count_patterns(classes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()  # bounded by the vote values
+    code, radix = seen.column("code").to_numpy(), [classes + 2, classes + 1, classes + 1]
+    patterns, rest = [], code
+    for r in reversed(radix):
+        patterns.append(rest % r)
+        rest = rest // r
+    patterns = np.stack([rest, *reversed(patterns)], axis=1)
+    p = _learned(patterns, seen.column("n").to_numpy().astype(float), classes, use)
+    subject = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("subject_no") + 1) if names else F.lit(None).cast("string")
+    decided = told.mapInArrow(_decide(spark.sparkContext.broadcast((code, p)), classes), "doc_id long, subject_no int, share double, probability double")
+    return decided.select("doc_id", subject.alias("subject"), "share", "probability")
+
+
+def _learned(patterns: np.ndarray, counts: np.ndarray, classes: int, use: tuple[str, ...]) -> np.ndarray:
+    """Class probabilities of each pattern of the votes ``VOTES``.
+
+    The lexicon's votes of each level of certainty are a function of their own, and
+    the start.  Section, address and source all follow what the whole document is
+    about, so they are one group.
     """
+    levels, none = len(LEVELS) + 1, classes + 1
+    lexicon, section, address, source = patterns.T
+    cast = lexicon < levels * (classes + 1)
+    split = [np.where(cast & (lexicon % levels == k), lexicon // levels, none) for k in range(levels)]
+    # Address and source have no vote for the class none: its number means that they do not vote.
+    columns = np.stack([*split, section, *(np.where(x == classes, none, x) for x in (address, source))], axis=1)
+    start = np.full((len(patterns), classes + 1), 1 / (classes + 1))
+    certain = np.array([0.7, *LEVELS])
+    sure = certain[lexicon % levels]
+    start[cast] = ((1 - sure) / max(classes, 1))[cast, None]
+    start[np.flatnonzero(cast), lexicon[cast] // levels] = sure[cast]
+    groups = [[k] for k in range(levels)] if "lexicon" in use else []
+    context = [levels + i for i, v in enumerate(VOTES[1:]) if v in use]
+    if not len(patterns):
+        return start
+    return latent_posterior(columns, counts, start, np.zeros(len(patterns), bool), groups=groups + [context] * bool(context), kinds=(np.arange(classes + 1) == classes).astype(np.int64),
+                            trust=dict(enumerate(certain.tolist())))
+
+
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, use: tuple[str, ...] = VOTES) -> DataFrame:
+    """``doc_id, subject, share, probability``: the subjects of each document, by the latent model's probability."""
     names = [r["subject"] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").collect()]  # a fixed small table
-    return subject_votes(documents, labels, names).filter((F.col("probability") >= 0.5) & (F.col("share") >= SHARE))
+    return subject_votes(documents, labels, names, use=use).filter(F.col("probability") >= YES)

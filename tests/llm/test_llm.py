@@ -400,3 +400,26 @@ def test_subjects_on_held_out_documents(spark):
     held = [i for i in truth if i % 4]
     assert sum(got.get(i, set()) == truth[i] for i in held) >= 0.95 * len(held) and not {900, 901} & set(got)
     assert subjects.document_subjects(df.limit(0), spark.createDataFrame(labels, "doc_id long, subject string"), names_of).count() == 0
+
+
+def test_dependent_votes_count_once():
+    # Two functions that always say the same are no more evidence than one; a stated accuracy keeps a function from being outvoted.
+    pats = np.array([[0, 1, 1], [1, 1, 1], [0, 0, 0], [1, 0, 0]])
+    counts = np.array([150.0, 850.0, 850.0, 150.0])
+    start = np.eye(2)[pats[:, 0]] * 0.98 + 0.01
+    grouped = subjects.latent_posterior(pats, counts, start, np.zeros(4, bool), groups=[[0], [1, 2]], trust={0: 0.999})
+    assert grouped[0, 0] > 0.95 and grouped[3, 1] > 0.95
+    alone = subjects.latent_posterior(pats, counts, start, np.zeros(4, bool), groups=[[0], [1], [2]])
+    assert alone[0, 0] < grouped[0, 0]
+
+
+def test_context_decides_statements_of_unknown_words(spark):
+    # "zzz qqq" is in no labelled document: the section it stands in gives it its subject.
+    law, sport = "Court judge verdict appeal.", "Match goal striker league."
+    docs = [(i, f"{law if i % 2 else sport} {law if i % 2 else sport} {law if i % 2 else sport}", "a", "x/y") for i in range(200)]
+    docs += [(500, f"{law} Zzz qqq. Xxx www. Vvv uuu. Ttt sss.\n# Next\n{law} {law} {sport}", None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, file_path string")
+    labels = spark.createDataFrame([(i, "law" if i % 2 else "sport") for i in range(200)], "doc_id long, subject string")
+    def share(use):
+        return {r["subject"]: r["share"] for r in subjects.subject_votes(df, labels, ["law", "sport"], use=use).filter("doc_id = 500").collect()}
+    assert share(subjects.VOTES)["law"] > share(("lexicon",))["law"]
