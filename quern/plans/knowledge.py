@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import embed, jsontext
@@ -214,29 +214,47 @@ def extract_glean(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("id", "round").agg(F.countDistinct("name").alias("n_names")).withColumnRenamed("id", "source")
 
 
+def _first_words(texts: Column) -> Column:
+    """A stand-in for a summary: the first ten words of the first text."""
+    return T.truncate_tokens(F.get(texts, F.lit(0)), 10)
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return store.latest(table(spark, d, "entities"), "mention_id", "extracted_at")
+
+
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions merged by name."""
-    rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at")
-    return merging.merge_entities(rows, ["extracted_at", "mention_id"]).withColumn("description", F.md5("description"))
+    """Mentions merged by name, descriptions joined or summarised in windows of 200 tokens by the stand-in."""
+    return merging.merge_entities(_mentions(spark, d), ["extracted_at", "mention_id"], reduce=_first_words, context=200).withColumn("description", F.md5("description"))
+
+
+def merge_entity_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The merged source ids of every name, in segments of 100, each as one checksum."""
+    out = merging.entity_sources(_mentions(spark, d), segment=100)
+    return out.select("name", "segment_no", "n_elements", F.md5(F.array_join("elements", "|")).alias("elements_md5"))
+
+
+def merge_relation_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The merged source ids of every undirected pair, in segments of 100, each as one checksum."""
+    out = merging.relation_sources(_relations(spark, d), segment=100)
+    return out.select("src_id", "tgt_id", "segment_no", "n_elements", F.md5(F.array_join("elements", "|")).alias("elements_md5"))
 
 
 def merge_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Relations merged by undirected pair."""
-    out = merging.merge_relations(_relations(spark, d), ["extracted_at", "rel_id"])
+    """Relations merged by undirected pair, descriptions as in `merge_entities`."""
+    out = merging.merge_relations(_relations(spark, d), ["extracted_at", "rel_id"], reduce=_first_words, context=200)
     return out.withColumn("weight", F.round("weight", 2)).withColumn("description", F.md5("description"))
 
 
 def summarize_windows(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions of every name packed into windows of 200 tokens."""
-    rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at")
-    out = merging.windows(rows, "name", "description", ["extracted_at", "mention_id"], 200)
+    out = merging.windows(_mentions(spark, d), "name", "description", ["extracted_at", "mention_id"], 200)
     return out.select("name", "block_no", "window_no", F.size("texts").alias("n_texts"), F.aggregate("texts", F.lit(0), lambda s, t: s + T.token_count(t)).alias("n_tokens"))
 
 
 def summarize_full(spark: SparkSession, d: str) -> DataFrame:
     """A summary of every name by a stand-in that keeps the first ten words of the first text."""
-    rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at")
-    return merging.summarise(rows, "name", "description", ["extracted_at", "mention_id"], lambda ts: T.truncate_tokens(F.get(ts, F.lit(0)), 10), context=200)
+    return merging.summarise(_mentions(spark, d), "name", "description", ["extracted_at", "mention_id"], _first_words, context=200)
 
 
 def keywords_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -297,25 +315,27 @@ def llm_usage(spark: SparkSession, d: str) -> DataFrame:
 
 def summarize_fast(spark: SparkSession, d: str) -> DataFrame:
     """Names whose descriptions are joined as they are, and how long the result is."""
-    rows = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at")
-    out = merging.merge_entities(rows, ["extracted_at", "mention_id"]).filter("description is not null")
+    rows = _mentions(spark, d).filter("name <> ''")
+    counted = rows.groupBy("name").agg(F.count_if(F.col("description") != "").alias("n_descriptions"))
+    out = counted.join(merging.unsummarised(rows, "name", "description", ["extracted_at", "mention_id"]), "name", "left").filter("n_descriptions = 0 or description is not null")
     return out.select("name", "n_descriptions", T.token_count(F.col("description")).alias("n_tokens"))
 
 
 def description_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Descriptions of every relation pair of few relations as JSON lines; `description_line_blocks` has all pairs."""
-    rows = graph.keyed(_relations(spark, d)).filter("description <> ''")
-    few = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < merging.COUNT)
-    texts = rows.join(few, ["a", "b"]).groupBy("a", "b").agg(F.array_sort(F.collect_list("description")).alias("ds"))
-    return texts.select("a", "b", F.md5(jsontext.json_lines(F.col("ds"))).alias("lines_md5"))
+    """Descriptions of every relation pair as JSON lines, in blocks of 50 by description."""
+    parts = _description_blocks(spark, d, 50)
+    return parts.select("a", "b", "block_no", F.size("parts").alias("n_descriptions"), F.md5(jsontext.json_lines(F.col("parts"))).alias("lines_md5"))
 
 
 def description_line_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions of every relation pair as JSON lines, pairs of many relations in several rows of bounded size."""
+    return _description_blocks(spark, d).select("a", "b", "block_no", F.size("parts").alias("n_descriptions"), jsontext.json_lines(F.col("parts")).alias("lines"))
+
+
+def _description_blocks(spark: SparkSession, d: str, block: int = merging.BLOCK) -> DataFrame:
     rows = graph.keyed(_relations(spark, d)).filter("description <> ''").withColumn("pair", F.to_json(F.struct("a", "b")))
-    # The id tells equal descriptions apart, so they spread over the blocks as well.
-    parts = merging.blocks(rows, "pair", "description", ["description", "rel_id"]).withColumn("k", F.from_json("pair", "a string, b string"))
-    return parts.select("k.a", "k.b", "block_no", F.size("parts").alias("n_descriptions"), jsontext.json_lines(F.col("parts")).alias("lines"))
+    parts = merging.blocks(rows, "pair", "description", ["description", "rel_id"], block)
+    return parts.withColumn("k", F.from_json("pair", "a string, b string")).select("k.a", "k.b", "block_no", "parts")
 
 
 def graph_upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +360,7 @@ def vector_manifest(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     summarize_fast, description_lines, description_line_blocks, graph_upsert_nodes, events_hourly, vector_manifest, embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
     graph_canonical_edges, graph_upsert_edges, graph_endpoints, graph_degree, graph_neighbors, graph_bfs_d1, graph_bfs_d2, graph_induced, graph_expand_hits, graph_top_nodes,
-    extract_entities, extract_relations, extract_cache_key, extract_cache_split, extract_glean, merge_entities, merge_relations, summarize_windows, summarize_full,
+    extract_entities, extract_relations, extract_cache_key, extract_cache_split, extract_glean, merge_entities, merge_relations, merge_entity_sources, merge_relation_sources, summarize_windows, summarize_full,
     keywords_parse, keywords_fallback, render_entities, render_relations, pack_chunks, hybrid_chunk_union, entity_union, llm_usage)}
 
 _MENTIONS = S.deliveries("entities", "mention_id", "name, type, description, source_ids, extracted_at", "extracted_at DESC")
@@ -376,7 +396,48 @@ def _p(i: int) -> str:
 
 
 _ENTITIES = f"(SELECT response_id, line_no, {_p(1)} AS name, lower({_p(2)}) AS type, {_p(3)} AS description FROM {_RECORDS} WHERE contains(kind, 'entity') AND len(f) >= 4 AND {_p(1)} <> '')"
-_STATE = """CASE WHEN coalesce(n.n, 0) = 0 THEN '' WHEN n.n = 1 THEN n.ds[1] WHEN n.n < 6 AND n.tok < 500 THEN array_to_string(n.ds, chr(10) || chr(10)) END"""
+
+
+def _fits(budget: int = 500) -> str:
+    return f"(n = 1 OR (n < 6 AND tk < {budget}))"
+
+
+def _packed(name: str, rows: str, budget: int) -> str:
+    """Windows of at most ``budget`` fields over ``rows`` (k, t, tok, rn): a text that does not fit opens the next, but joins a window of one text and closes it."""
+    return f"""{name}_p AS (SELECT k, t, tok, rn // 1000 AS block_no, rn % 1000 AS pos FROM {rows}),
+      {name} AS (SELECT k, t, tok, block_no, pos, 0 AS window_no, CAST(tok AS BIGINT) AS used, 1 AS cnt, false AS closed FROM {name}_p WHERE pos = 0
+        UNION ALL SELECT p.k, p.t, p.tok, p.block_no, p.pos,
+          CASE WHEN w.closed OR (w.used + p.tok > {budget} AND w.cnt > 1) THEN w.window_no + 1 ELSE w.window_no END,
+          CASE WHEN w.closed OR (w.used + p.tok > {budget} AND w.cnt > 1) THEN p.tok ELSE w.used + p.tok END,
+          CASE WHEN w.closed OR (w.used + p.tok > {budget} AND w.cnt > 1) THEN 1 ELSE w.cnt + 1 END,
+          NOT w.closed AND w.used + p.tok > {budget} AND w.cnt = 1
+        FROM {name} w JOIN {name}_p p ON p.k = w.k AND p.block_no = w.block_no AND p.pos = w.pos + 1)"""
+
+
+_TEN = f"CASE WHEN len({S.fields('t')}) <= 10 THEN t ELSE array_to_string({S.fields('t')}[1:10], ' ') END"
+
+
+def _summaries(rows: str, context: int = 200, depth: int = 3) -> str:
+    """CTEs that end in ``summed`` (k, description, llm_used) over ``rows`` (k, t, rn): rounds of windows, each reduced to the first ten words of its first text."""
+    parts = [f"l0 AS (SELECT k, t, len({S.fields('t')}) AS tok, rn FROM {rows})"]
+    for i in range(depth + 1):
+        parts += [f"s{i} AS (SELECT k, count(*) AS n, sum(tok) AS tk FROM l{i} GROUP BY 1)",
+                  f"d{i} AS (SELECT k, string_agg(t, chr(10) || chr(10) ORDER BY rn) AS description, {'true' if i else 'false'} AS llm_used FROM l{i} JOIN s{i} USING (k) WHERE {_fits()} GROUP BY 1)",
+                  f"r{i} AS (SELECT l{i}.* FROM l{i} JOIN s{i} USING (k) WHERE NOT {_fits()})"]
+        if i < depth:
+            parts += [_packed(f"w{i}", f"r{i}", context),
+                      f"g{i} AS (SELECT k, block_no, window_no, arg_min(t, pos) AS t, count(*) AS c FROM w{i} GROUP BY 1, 2, 3)",
+                      f"""l{i + 1} AS (SELECT k, t, len({S.fields('t')}) AS tok, row_number() OVER (PARTITION BY k ORDER BY block_no, window_no) - 1 AS rn
+                        FROM (SELECT k, block_no, window_no, CASE WHEN c > 1 THEN {_TEN} ELSE t END AS t FROM g{i}))"""]
+    done = " UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(depth + 1))
+    parts.append(f"summed AS ({done} UNION ALL SELECT k, {_TEN}, true FROM r{depth} WHERE rn = 0)")
+    return ", ".join(parts)
+
+
+_NAMED = f"(SELECT name AS k, description AS t, row_number() OVER (PARTITION BY name ORDER BY extracted_at NULLS FIRST, mention_id) - 1 AS rn FROM {_MENTIONS} WHERE name <> '' AND description <> '')"
+_LINES_OF = """string_agg('{"Description":' || to_json(description) || '}', chr(10) ORDER BY description, rel_id)"""
+_PAIR_BLOCKS = f"""(SELECT a, b, description, rel_id, CAST((row_number() OVER (PARTITION BY a, b ORDER BY description, rel_id) - 1) // {{size}} AS INT) AS block_no
+  FROM (SELECT least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b, description, rel_id FROM {_RELATIONS} WHERE {_VALID_EDGE} AND description <> ''))"""
 _FIRST_OBJECT = r"regexp_extract(text, '\{[^{}]*\}')"
 
 
@@ -409,8 +470,8 @@ SQL = {
       n AS (SELECT name, count(*) AS n, sum(len({S.fields('description')})) AS tok FROM m WHERE description <> '' GROUP BY 1)
       SELECT h.name, coalesce(n.n, 0) AS n_descriptions, CAST(coalesce(n.tok, 0) AS INT) AS n_tokens FROM (SELECT DISTINCT name FROM m) h LEFT JOIN n USING (name)
       WHERE coalesce(n.n, 0) <= 1 OR (n.n < 6 AND n.tok < 500)""",
-    "description_lines": f"""SELECT a, b, md5(string_agg('{{"Description":' || to_json(description) || '}}', chr(10) ORDER BY description)) AS lines_md5
-      FROM (SELECT least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b, description FROM {_RELATIONS} WHERE {_VALID_EDGE} AND description <> '') GROUP BY 1, 2 HAVING count(*) < 6""",
+    "description_lines": f"""SELECT a, b, block_no, CAST(count(*) AS INT) AS n_descriptions, md5({_LINES_OF}) AS lines_md5 FROM {_PAIR_BLOCKS.format(size=50)} GROUP BY 1, 2, 3""",
+    "description_line_blocks": f"""SELECT a, b, block_no, CAST(count(*) AS INT) AS n_descriptions, {_LINES_OF} AS lines FROM {_PAIR_BLOCKS.format(size=1000)} GROUP BY 1, 2, 3""",
     "graph_upsert_nodes": f"SELECT name, mention_id, type FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY coalesce(extracted_at, TIMESTAMP '1900-01-01') DESC, mention_id DESC) AS rn FROM {_MENTIONS} WHERE name <> '') WHERE rn = 1",
     "events_hourly": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "vector_manifest": "SELECT vec_id, CAST(len(embedding) AS INT) AS dim, round(list_sum(embedding[1:6]::DOUBLE[]), 6) AS head_sum FROM embeddings",
@@ -454,19 +515,27 @@ SQL = {
       f AS (SELECT source, name FROM e WHERE stage = 'extract' GROUP BY ALL),
       g AS (SELECT DISTINCT source, name FROM e WHERE stage = 'glean' AND source IN (SELECT source FROM f) AND (source, name) NOT IN (SELECT (source, name) FROM f))
       SELECT source, 0 AS round, count(*) AS n_names FROM f GROUP BY 1 UNION ALL SELECT source, 1, count(*) FROM g GROUP BY 1""",
-    "merge_entities": f"""WITH m AS (SELECT * FROM {_MENTIONS} WHERE coalesce(name, '') <> ''),
+    "summarize_windows": f"""WITH RECURSIVE m AS (SELECT k, t, len({S.fields('t')}) AS tok, rn FROM {_NAMED}), {_packed("w", "m", 200)}
+      SELECT k AS name, CAST(block_no AS INT) AS block_no, window_no, CAST(count(*) AS INT) AS n_texts, CAST(sum(tok) AS INT) AS n_tokens FROM w GROUP BY 1, 2, 3""",
+    "summarize_full": f"WITH RECURSIVE {_summaries(_NAMED)} SELECT k AS name, description, llm_used FROM summed",
+    "merge_entity_sources": f"""SELECT name, segment_no, CAST(count(*) AS INT) AS n_elements, md5(string_agg(e, '|' ORDER BY e)) AS elements_md5
+      FROM (SELECT *, (row_number() OVER (PARTITION BY name ORDER BY e) - 1) // 100 AS segment_no FROM (SELECT DISTINCT name, e FROM (SELECT name, unnest(source_ids) AS e FROM {_MENTIONS}) WHERE name <> '' AND e <> '')) GROUP BY 1, 2""",
+    "merge_relation_sources": f"""SELECT a AS src_id, b AS tgt_id, segment_no, CAST(count(*) AS INT) AS n_elements, md5(string_agg(e, '|' ORDER BY e)) AS elements_md5
+      FROM (SELECT *, (row_number() OVER (PARTITION BY a, b ORDER BY e) - 1) // 100 AS segment_no FROM (SELECT DISTINCT a, b, e FROM (
+        SELECT least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b, unnest(source_ids) AS e FROM {_RELATIONS} WHERE {_VALID_EDGE}) WHERE e <> '')) GROUP BY 1, 2, 3""",
+    "merge_entities": f"""WITH RECURSIVE m AS (SELECT * FROM {_MENTIONS} WHERE coalesce(name, '') <> ''),
       h AS (SELECT name, count(*) AS n_mentions FROM m GROUP BY 1), t AS (SELECT name, type FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY extracted_at NULLS FIRST, mention_id) AS rn FROM m) WHERE rn = 1),
       s AS (SELECT name, count(DISTINCT x) AS n_sources FROM (SELECT name, unnest(source_ids) AS x FROM m) WHERE x <> '' GROUP BY 1),
-      n AS (SELECT name, count(*) AS n, sum(len({S.fields('description')})) AS tok, list(description ORDER BY extracted_at NULLS FIRST, mention_id) AS ds FROM m WHERE description <> '' GROUP BY 1)
-      SELECT h.name, t.type, h.n_mentions, coalesce(n.n, 0) AS n_descriptions, coalesce(s.n_sources, 0) AS n_sources, md5({_STATE}) AS description
-      FROM h JOIN t USING (name) LEFT JOIN s USING (name) LEFT JOIN n USING (name)""",
-    "merge_relations": f"""WITH m AS (SELECT *, least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b FROM {_RELATIONS} WHERE {_VALID_EDGE}),
-      h AS (SELECT a, b, coalesce(sum(CAST(round(weight * 1000) AS BIGINT)) / 1000.0::DOUBLE, 0) AS weight, count(*) AS n_relations FROM m GROUP BY 1, 2),
-      k AS (SELECT a, b, string_agg(keywords, ',' ORDER BY e, r) AS keywords FROM (SELECT a, b, keywords, min(coalesce(extracted_at, TIMESTAMP '1900-01-01')) AS e, arg_min(rel_id, (coalesce(extracted_at, TIMESTAMP '1900-01-01'), rel_id)) AS r FROM m WHERE keywords <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2),
-      s AS (SELECT a, b, count(DISTINCT x) AS n_sources FROM (SELECT a, b, unnest(source_ids) AS x FROM m) WHERE x <> '' GROUP BY 1, 2),
-      n AS (SELECT a, b, count(*) AS n, sum(len({S.fields('description')})) AS tok, list(description ORDER BY extracted_at NULLS FIRST, rel_id) AS ds FROM m WHERE description <> '' GROUP BY 1, 2)
-      SELECT h.a AS src_id, h.b AS tgt_id, round(h.weight, 2) AS weight, coalesce(k.keywords, '') AS keywords, h.n_relations, coalesce(s.n_sources, 0) AS n_sources, md5({_STATE}) AS description
-      FROM h LEFT JOIN k USING (a, b) LEFT JOIN s USING (a, b) LEFT JOIN n USING (a, b)""",
+      n AS (SELECT name, count(*) AS n FROM m WHERE description <> '' GROUP BY 1), {_summaries(_NAMED)}
+      SELECT h.name, t.type, h.n_mentions, coalesce(n.n, 0) AS n_descriptions, coalesce(s.n_sources, 0) AS n_sources, md5(coalesce(d.description, '')) AS description
+      FROM h JOIN t USING (name) LEFT JOIN s USING (name) LEFT JOIN n USING (name) LEFT JOIN summed d ON d.k = h.name""",
+    "merge_relations": f"""WITH RECURSIVE m AS (SELECT *, least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b, least(src_id, tgt_id) || chr(1) || greatest(src_id, tgt_id) AS k FROM {_RELATIONS} WHERE {_VALID_EDGE}),
+      h AS (SELECT a, b, k, coalesce(sum(CAST(round(weight * 1000) AS BIGINT)) / 1000.0::DOUBLE, 0) AS weight, count(*) AS n_relations FROM m GROUP BY 1, 2, 3),
+      q AS (SELECT k, string_agg(keywords, ',' ORDER BY e, r) AS keywords FROM (SELECT k, keywords, min(coalesce(extracted_at, TIMESTAMP '1900-01-01')) AS e, arg_min(rel_id, (coalesce(extracted_at, TIMESTAMP '1900-01-01'), rel_id)) AS r FROM m WHERE keywords <> '' GROUP BY 1, 2) GROUP BY 1),
+      s AS (SELECT k, count(DISTINCT x) AS n_sources FROM (SELECT k, unnest(source_ids) AS x FROM m) WHERE x <> '' GROUP BY 1),
+      o AS (SELECT k, description AS t, row_number() OVER (PARTITION BY k ORDER BY extracted_at NULLS FIRST, rel_id) - 1 AS rn FROM m WHERE description <> ''), {_summaries("o")}
+      SELECT h.a AS src_id, h.b AS tgt_id, round(h.weight, 2) AS weight, coalesce(q.keywords, '') AS keywords, h.n_relations, coalesce(s.n_sources, 0) AS n_sources, md5(coalesce(d.description, '')) AS description
+      FROM h LEFT JOIN q USING (k) LEFT JOIN s USING (k) LEFT JOIN summed d USING (k)""",
     "keywords_parse": f"""SELECT response_id, {_keyword_list('high_level_keywords')} AS high, {_keyword_list('low_level_keywords')} AS low
       FROM (SELECT response_id, {_FIRST_OBJECT} AS o FROM {_REPLIES} WHERE stage = 'keywords' AND text IS NOT NULL)""",
     "keywords_fallback": f"""SELECT response_id, CASE WHEN l <> '' THEN l ELSE q END AS low FROM (SELECT response_id, {_keyword_list('low_level_keywords')} AS l, q

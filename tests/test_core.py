@@ -352,3 +352,30 @@ def test_merged_lists_are_whole_and_in_order(spark, tmp_path):
     assert {k: sum(v, []) for k, v in lists.items()} == {("relations.src_id", "hot"): ids, ("relations.src_id", "cold"): ["a", "b"],
                                                          ("entities.source_ids", "c1"): [f"m{i}" for i in range(6)], ("entities.description", "same"): ["c1"]}
     assert rows(skew.p3_description_counts(spark, str(tmp_path)), "description") == [("same", 4)]
+
+
+def test_blocks_follow_the_order_across_partitions(spark):
+    big = spark.createDataFrame([(i, "X" if i % 3 else "Y", f"t{i:05}") for i in range(3000, -1, -1)], "i int, name string, t string").repartition(6)
+    out = merging.blocks(big, "name", "t", ["i"], 150).collect()
+    for name in "XY":
+        got = [r["parts"] for r in sorted((r for r in out if r["name"] == name), key=lambda r: r["block_no"])]
+        assert all(len(x) == 150 for x in got[:-1]) and sum(got, []) == [f"t{i:05}" for i in range(3001) if (name == "X") == bool(i % 3)]
+
+
+def test_merged_descriptions_of_large_groups(spark):
+    m = spark.createDataFrame([(i, "X", None, f"word{i}", ["c1", "c2", None]) for i in range(8)] + [(9, "Y", "t", None, None)], "i int, name string, type string, description string, source_ids array<string>")
+    out = {r["name"]: r for r in merging.merge_entities(m, ["i"], reduce=lambda ts: F.concat_ws("+", ts)).collect()}
+    assert out["X"]["description"] == "+".join(f"word{i}" for i in range(8)) and (out["X"]["n_sources"], out["Y"]["description"]) == (2, "")
+    assert rows(merging.entity_sources(m), "name") == [("X", 0, 2, ["c1", "c2"])]
+    assert merging.merge_entities(m, ["i"]).filter("description is null").count() == 0 and merging.merge_entities(m.limit(0), ["i"]).count() == 0
+
+
+def test_summaries_by_an_endpoint(spark):
+    server = HTTPServer(("127.0.0.1", 0), _Fake)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    _Fake.plan = []
+    e = providers.Endpoint(f"http://127.0.0.1:{server.server_port}", "m")
+    m = spark.createDataFrame([(i, "X", f"word{i}") for i in range(8)] + [(9, "Y", "alone")], "i int, name string, t string")
+    out = {r["name"]: r["description"] for r in merging.summarise(m, "name", "t", ["i"], merging.by_provider(e)).collect()}
+    server.shutdown()
+    assert out["Y"] == "alone" and out["X"].startswith("1:Below are descriptions of one entity, named X") and '{"Description":"word7"}' in out["X"]
