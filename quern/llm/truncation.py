@@ -2,8 +2,9 @@
 
 Lengths are taken under several encodings and escapings (characters, UTF-8 bytes,
 UTF-16 units, entity-escaped, JSON-escaped, CRLF line ends).  Per source and
-measure the rows are counted by length; a length held by far more rows than its
-neighbours is a storage limit.  A row is then judged by its ending together with
+measure the responses are counted by length, each once however often it was
+delivered; a length held by far more of them than its neighbours is a storage
+limit.  A row is then judged by its ending together with
 three pieces of evidence: it sits at a limit of its source, the provider counted
 more tokens than the text can hold, or the count equals the request's cap.  A
 whole sentence followed by space right at a limit or cap was cut between sentences.
@@ -55,13 +56,16 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``source, measure, size`` of every row with its array ``sizes``."""
-    return df.select("source", F.explode("sizes").alias("s")).select("source", "s.measure", "s.size")
+def _sizes(text: Column) -> Column:
+    """The lengths as one array, in the order of :func:`lengths`."""
+    return F.array(*[v.cast("int") for v in lengths(text).values()])
 
 
-def _sizes(text: Column) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("size")) for k, v in lengths(text).items()])
+def _sized(df: DataFrame) -> DataFrame:
+    """The columns of ``df`` with ``measure, size`` for each length in its array ``sizes``."""
+    kept = [c for c in df.columns if c != "sizes"]
+    names = F.array(*[F.lit(k) for k in lengths(F.lit(""))])
+    return df.select(*kept, F.posexplode("sizes").alias("m", "size")).select(*kept, F.get(names, F.col("m")).alias("measure"), "size")
 
 
 def _limits(sized: DataFrame) -> DataFrame:
@@ -75,10 +79,15 @@ def _limits(sized: DataFrame) -> DataFrame:
             .drop("around", "beyond"))
 
 
-def storage_limits(df: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """``source, measure, size, n``: lengths at which a source cuts or stores its texts."""
-    rows = df.select(F.col(source).alias("source"), F.col(text).alias("_text")).filter("_text <> ''")
-    return _limits(_sized(rows.select("source", _sizes(F.col("_text")).alias("sizes"))))
+def storage_limits(df: DataFrame, source: str = "source", text: str = "text", key: str = "response_id") -> DataFrame:
+    """``source, measure, size, n``: lengths at which a source cuts or stores its texts.
+
+    Deliveries of one ``key`` with the same lengths count once; without that column
+    every row counts.
+    """
+    rows = df.select(F.col(source).alias("source"), F.col(text).alias("_text"), *([F.col(key).alias("_key")] if key in df.columns else [])).filter("_text <> ''")
+    sized = rows.withColumn("sizes", _sizes(F.col("_text"))).drop("_text")
+    return _limits(_sized(sized.distinct() if "_key" in sized.columns else sized))
 
 
 def _ending(t: Column) -> Column:
@@ -126,9 +135,10 @@ def truncated(responses: DataFrame, requests: DataFrame) -> DataFrame:
 
     # Lengths and endings are taken once; what follows never reads the texts again, but for list items.
     judged = materialise(judged, "truncation-judged")
-    limits = _limits(_sized(judged)).select("source", "measure", "size")
-    at = (judged.select("response_id", "source", F.explode("sizes").alias("s")).select("response_id", "source", "s.measure", "s.size")
-          .join(limits, ["source", "measure", "size"], "left_semi").select("response_id").distinct().withColumn("at_limit", F.lit(True)))
+    # Re-delivered rows make no limit.
+    sized = _sized(judged.select("response_id", "source", "sizes").distinct())
+    limits = _limits(sized).select("source", "measure", "size")
+    at = sized.join(limits, ["source", "measure", "size"], "left_semi").select("response_id").distinct().withColumn("at_limit", F.lit(True))
     # A list item is whole if it stands, followed by more text, in some response.
     inner = F.split("text", "\n")
     known = (responses.filter(F.col("text").rlike(r"\n\s*(?:[-*•]|\d+[.)])\s"))
@@ -139,7 +149,13 @@ def truncated(responses: DataFrame, requests: DataFrame) -> DataFrame:
     sign_off = (opens.filter(f"n >= {SPIKE_ROWS}").crossJoin(F.broadcast(total))  # one row
                 .filter(F.col("n") >= F.col("all") * SIGN_OFF_SHARE).select("template", F.lit(True).alias("signed")))
     cap = requests.groupBy("request_id").agg(F.max("max_tokens").alias("max_tokens"))
-    full = (judged.drop("sizes").join(at, "response_id", "left").join(known, "item", "left").join(sign_off, "template", "left").join(cap, "request_id", "left"))
+    # Only rows with an open ending have an item or a template; no others take part in these joins.
+    slim, never = judged.drop("sizes"), F.lit(None).cast("boolean")
+    items = slim.filter("item is not null").join(known, "item", "left").withColumn("signed", never)
+    # At most 1 / SIGN_OFF_SHARE templates.
+    ended = slim.filter("template is not null").join(F.broadcast(sign_off), "template", "left").withColumn("known", never)
+    rest = slim.filter("item is null and template is null").withColumn("known", never).withColumn("signed", never)
+    full = items.unionByName(ended).unionByName(rest).join(at, "response_id", "left").join(cap, "request_id", "left")
     tokens = F.coalesce(F.col("output_tokens"), F.lit(0))
     lost = tokens * BYTES_PER_TOKEN > F.col("nbytes") * EXCESS + EXCESS_BYTES
     at_limit = F.coalesce("at_limit", F.lit(False))

@@ -74,6 +74,19 @@ def test_truncated(spark):
     assert truncation.truncated(none, req).count() == 0 and truncation.truncation_shares(none, req).count() == 0
 
 
+def test_limits_find_what_endings_cannot(spark):
+    # Sentences of 20 characters, so that every cut at 300 falls between two: the ending is whole, only the limit tells.
+    sentence = "Nineteen letters x. "
+    data = [(i, i, "lim", (sentence * 30)[:300], 75) for i in range(200)] + [(300 + i, 300 + i, "lim", "Short and whole" + "x" * i + ".", 5) for i in range(150)]
+    # Forty deliveries of one text are one response, no limit.
+    data += [(900, 900, "free", "Delivered again and again. ", 6)] * 40 + [(901 + i, 901 + i, "free", "Whole reply" + "y" * i + ".", 5) for i in range(100)]
+    df = spark.createDataFrame(data, RESP)
+    req = spark.createDataFrame([(0, 500)], "request_id long, max_tokens int")
+    got = {r["response_id"]: r["reason"] for r in truncation.truncated(df, req).collect()}
+    assert got == {i: "storage limit" for i in range(200)}
+    assert {r["size"] for r in truncation.storage_limits(df).filter("source = 'free'").collect()} == set()
+
+
 # --- near duplicates --------------------------------------------------------
 
 def shingles(t, k):
