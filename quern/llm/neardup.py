@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import wordhash
-from quern.sources.tables import materialise, spread
+from quern.sources.tables import materialise, release, spread
 
 BLOCK = 64
 #: In :func:`near_duplicates` exact copies up to this number are given as all their pairs, larger classes as a star.
@@ -250,7 +250,10 @@ def similar_classes(classes: DataFrame, k: int = 5, threshold: float = 0.8, min_
     once = kept.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid")
     full = (kept.join(once.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
             .join(once.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b"))
-    return features.select("cid"), materialise(full.mapInArrow(_hamming(k, threshold), "a long, b long, similarity double"), "neardup-links")
+    links = materialise(full.mapInArrow(_hamming(k, threshold), "a long, b long, similarity double"), "neardup-links")
+    enough = materialise(features.select("cid"), "neardup-enough")
+    release(features, kept)
+    return enough, links
 
 
 def _of_class(ids: DataFrame, info: DataFrame) -> DataFrame:
@@ -277,6 +280,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     ids = rows.select("h", "id").distinct()
     sized = ids.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("rep"))
     info = materialise(classes.select("cid", "h").join(enough, "cid", "left_semi").join(sized, "h"), "neardup-sizes")
+    release(classes, enough)
     member = _of_class(ids, info.filter("m > 1"))
     small = member.filter(F.col("m") <= MAX_COPIES).select("cid", "id")
     ends = small.unionByName(info.filter((F.col("m") == 1) | (F.col("m") > MAX_COPIES)).select("cid", F.col("rep").alias("id")))
@@ -306,6 +310,7 @@ def link_counts(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold
     info = classes.select("cid", "h").join(sized, "h").join(enough.withColumn("own", F.lit(1)), "cid", "left")
     ends = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("other")))
     info = materialise(info, "neardup-sizes")
+    release(classes, enough)
     across = ends.join(info.select(F.col("cid").alias("other"), "m"), "other").groupBy("cid").agg(F.sum("m").alias("across"))
     n = F.coalesce(F.col("own") * (F.col("m") - 1), F.lit(0)) + F.coalesce("across", F.lit(0))
     known = materialise(info.join(across, "cid", "left").select("h", "m", "class_id", n.alias("n_links")), "neardup-known")
