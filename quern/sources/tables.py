@@ -51,7 +51,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     own = f"{shared_dir(spark).rstrip('/')}/quern-{spark.sparkContext.applicationId}"
     path = f"{own}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     fs, p = _path(spark, own)
     fs.deleteOnExit(p)
     # The shuffle files behind ``df`` are of no more use; Spark removes them when the driver collects its garbage.
