@@ -65,7 +65,7 @@ def _features(k: int, min_words: int, segments: int, rows: int):
     def run(batches):
         table = wordhash.alnum_table()
         for batch in batches:
-            ids, texts = batch.column("cid").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             words, counts = wordhash.word_hashes(texts, table)
             runs, doc = wordhash.run_hashes(words, counts, k)
             keep = counts[doc] >= min_words
@@ -86,10 +86,10 @@ def _features(k: int, min_words: int, segments: int, rows: int):
             low = (wordhash.mix64(sig) & np.uint64(15)).astype(np.uint8)
             packed = (low[:, ::2] << 4) | low[:, 1::2]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[doc[starts]]),
+                *(batch.column(c).take(pa.array(doc[starts])) for c in ("cid", "h")),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * segments), pa.array(keys.ravel().view(np.int64))),
                 pa.array([x.tobytes() for x in packed], pa.binary()),
-            ], names=["cid", "keys", "sig"])
+            ], names=["cid", "h", "keys", "sig"])
 
     return run
 
@@ -238,20 +238,19 @@ def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def similar_classes(classes: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The classes with enough words, ``cid``, and the pairs of near-equal ones: ``a, b, similarity``.
+    """The classes with enough words, ``cid, h``, and the pairs of near-equal ones: ``a, b, similarity``.
 
-    ``classes`` has ``cid`` and ``text``, each text once.  Texts with fewer than
+    ``classes`` has ``cid, h, text``, each text once.  Texts with fewer than
     ``min_words`` words (or ``k``) never pair.  An empty input gives no rows.
     """
-    texts = classes.select("cid", "text")
-    features = materialise(spread(texts).mapInArrow(_features(k, max(k, min_words), *ring(threshold)), "cid long, keys array<long>, sig binary"), "neardup-features")
+    features = materialise(spread(classes).mapInArrow(_features(k, max(k, min_words), *ring(threshold)), "cid long, h binary, keys array<long>, sig binary"), "neardup-features")
     kept = materialise(_chained(features, threshold), "neardup-chains")
     # Only the texts of survivors are moved for the full check.
-    once = kept.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid")
+    once = kept.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "text"), "cid")
     full = (kept.join(once.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
             .join(once.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b"))
     links = materialise(full.mapInArrow(_hamming(k, threshold), "a long, b long, similarity double"), "neardup-links")
-    enough = materialise(features.select("cid"), "neardup-enough")
+    enough = materialise(features.select("cid", "h"), "neardup-enough")
     release(features, kept)
     return enough, links
 
@@ -279,7 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     enough, links = similar_classes(classes, k, threshold, min_words)
     ids = rows.select("h", "id").distinct()
     sized = ids.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("rep"))
-    info = materialise(classes.select("cid", "h").join(enough, "cid", "left_semi").join(sized, "h"), "neardup-sizes")
+    info = materialise(enough.join(sized, "h"), "neardup-sizes")
     release(classes, enough)
     member = _of_class(ids, info.filter("m > 1"))
     small = member.filter(F.col("m") <= MAX_COPIES).select("cid", "id")
@@ -307,12 +306,14 @@ def link_counts(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold
     classes = _classes(rows.select("h", "text").filter("text is not null"))
     enough, links = similar_classes(classes, k, threshold, min_words)
     sized = ids.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("class_id"))
-    info = classes.select("cid", "h").join(sized, "h").join(enough.withColumn("own", F.lit(1)), "cid", "left")
     ends = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("other")))
-    info = materialise(info, "neardup-sizes")
+    # A class without enough words has no number.
+    info = materialise(sized.join(enough, "h", "left"), "neardup-sizes")
     release(classes, enough)
-    across = ends.join(info.select(F.col("cid").alias("other"), "m"), "other").groupBy("cid").agg(F.sum("m").alias("across"))
-    n = F.coalesce(F.col("own") * (F.col("m") - 1), F.lit(0)) + F.coalesce("across", F.lit(0))
-    known = materialise(info.join(across, "cid", "left").select("h", "m", "class_id", n.alias("n_links")), "neardup-known")
+    able = info.filter("cid is not null")
+    across = ends.join(able.select(F.col("cid").alias("other"), "m"), "other").groupBy("cid").agg(F.sum("m").alias("across"))
+    n = F.col("m") - 1 + F.coalesce("across", F.lit(0))
+    counted = able.join(across, "cid", "left").select("h", "m", "class_id", n.alias("n_links"))
+    known = materialise(counted.unionByName(info.filter("cid is null").select("h", "m", "class_id", F.lit(0).cast("long").alias("n_links"))), "neardup-known")
     none = ids.filter("h is null").select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return _of_class(ids.filter("h is not null"), known).select("id", "class_id", "n_links").unionByName(none)
