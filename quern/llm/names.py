@@ -8,7 +8,8 @@
    padded q-grams.  The number
    of bands is tuned from the collision curve ``1 - (1 - J^r)^b`` (see
    :func:`bands_for`).  Pairs within one edit (two in long tokens) are kept.
-3. Names that share a token, or hold two linked ones, are compared by a
+3. Names that share a token or hold two linked ones, and agree in a second key, are
+   compared by a
    Monge-Elkan similarity over their tokens, where equal words, nicknames,
    initials, abbreviations and single typing errors count, and every full word
    of either name must find its partner.  Years must be equal.
@@ -16,11 +17,12 @@
    a centre, its neighbours join it, and so on among the rest.
 
 Skew: all work is on distinct names and tokens, counted with partial aggregation.
-A token in more than ``COMMON`` names makes candidates together with a second part
-of the name (see :func:`_second_keys`), compared in blocks; so does a rare token that
-can be such a token mistyped.  Given names do so in names without any other telling
-token.  Generic words make no candidates; equal token sets are linked as a star
-around their smallest member.
+Every token, however common, makes candidates together with a second part of the name
+(see :func:`_second_keys`), compared in blocks; so does a token that can be another
+one mistyped.  Given names do so in names without any other telling token.  Generic
+words make no candidates; equal token sets are linked as a star around their smallest
+member.  Two words that many names hold (:func:`common_from`) are never taken as one
+word mistyped; what counts as many grows with the number of names.
 
 Defined results: null and empty names take no part; names without letters or
 digits are never linked; repeated rows change nothing.
@@ -30,8 +32,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +43,10 @@ from pyspark.sql import functions as F
 from quern.llm import wordhash
 from quern.sources.tables import materialise
 
-Q, ROWS, COMMON, THRESHOLD = 3, 3, 250, 0.85
+Q, ROWS, THRESHOLD = 3, 3, 0.85
+#: A word is common if it is in more than this number of names, and more than this share of them.
+COMMON, COMMON_SHARE = 250, 1 / 300
+#: In :func:`variant_pairs` clusters up to this number of spellings are given as all their pairs.
 MAX_PAIRS = 200
 
 # Words that carry no identity.
@@ -142,8 +149,18 @@ def _formals(names: dict) -> dict[str, set[str]]:
 FORMALS = _formals(NICKNAMES)
 
 
+def common_from(names: int) -> int:
+    """Names a word must be in more of to be common, among so many."""
+    return max(COMMON, int(names * COMMON_SHARE))
+
+
 def token_similarity(a: str, b: str, kinds: str, common: frozenset | set = frozenset()) -> float:
     """Similarity of two tokens; ``kinds`` are those of the two names."""
+    return _token_similarity(a, b, kinds, a in common, b in common)
+
+
+@lru_cache(1 << 18)
+def _token_similarity(a: str, b: str, kinds: str, common_a: bool, common_b: bool) -> float:
     if a == b:
         return 1.0
     if a.isdigit() or b.isdigit():
@@ -151,7 +168,7 @@ def token_similarity(a: str, b: str, kinds: str, common: frozenset | set = froze
     if len(a) > 1 and len(b) > 1:
         if FORMALS.get(a, {a}) & FORMALS.get(b, {b}):
             return 0.95
-        sure_a, sure_b = a in FIXED_WORDS or a in FORMALS or a in common, b in FIXED_WORDS or b in FORMALS or b in common
+        sure_a, sure_b = common_a or a in FIXED_WORDS or a in FORMALS, common_b or b in FIXED_WORDS or b in FORMALS
         if not (sure_a and sure_b) and slip(a, b):
             return 0.9
         # A formal name typed with an error against its short form.
@@ -184,10 +201,14 @@ def similarity(a: list[str], b: list[str], kinds: str = "??", common: frozenset
         if j is not None:
             left[i] = right[j] = 1.0
             strong |= len(x) > 2 and x not in FIXED_WORDS
-    options = sorted(((token_similarity(x, y, kinds, common), i, j) for i, x in enumerate(a) if i not in left for j, y in enumerate(b) if j not in right), key=lambda o: (-o[0], o[1], o[2]))
+    spare_a, spare_b = [i for i in range(len(a)) if i not in left], [j for j in range(len(b)) if j not in right]
+    options = [(s, i, j) for i in spare_a for j in spare_b if (s := _token_similarity(a[i], b[j], kinds, a[i] in common, b[j] in common)) > 0]
+    # A full word that no word of the other name can be is enough.
+    may_a, may_b = {i for _, i, _ in options}, {j for _, _, j in options}
+    if any(i not in may_a and len(a[i]) > 1 for i in spare_a) or any(j not in may_b and len(b[j]) > 1 for j in spare_b):
+        return 0.0
+    options.sort(key=lambda o: (-o[0], o[1], o[2]))
     for s, i, j in options:
-        if s <= 0:
-            break
         if i not in left and j not in right:
             left[i] = right[j] = s
             strong |= min(len(a[i]), len(b[j])) > 2 and a[i] not in FIXED_WORDS
@@ -278,7 +299,8 @@ def _second_keys(tokens: list[str], token: str) -> list[str]:
 def _links(batches):
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("ka", "kb", "xa", "xb", "ca", "cb")]
-        score = [similarity(x, y, p + q, set(c) | set(d)) for p, q, x, y, c, d in zip(*cols)]
+        # Tokens come as one string a name, which is far cheaper to hand over than lists.
+        score = [similarity(x.split(" "), y.split(" "), p + q, {*c.split(" "), *d.split(" ")} if c or d else frozenset()) for p, q, x, y, c, d in zip(*cols)]
         ok = pa.array([s >= THRESHOLD for s in score], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(score, pa.float64()).filter(ok)], names=["a", "b", "score"])
 
@@ -308,44 +330,42 @@ def name_links(entities: DataFrame, name_col: str = "name", type_col: str = "typ
     names = materialise(counted.select(F.xxhash64("name").alias("nid"), "name", "n", sure.alias("kind"), tokenise("name").alias("tokens")).filter("size(tokens) > 0"), "names")
     held = names.select("nid", F.explode(F.array_distinct("tokens")).alias("token")).filter(F.length("token") >= 2)
     frequency = materialise(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "names-tokens")
+    often = common_from(names.count())
     # Words that are common by their nature make no candidates either: two names that share only these are never linked.
     given = F.col("token").isin(sorted(set(FORMALS) - FIXED_WORDS))
     word = ~F.col("token").rlike(r"^\d+$") & ~F.col("token").isin(sorted(FIXED_WORDS))
-    telling = word & ~given & (F.col("df") <= COMMON)
-    coded = frequency.filter(word & (F.length("token") >= 4)).select(F.xxhash64("token").alias("cid"), "token", telling.alias("rare"))
+    plain = word & ~given & (F.length("token") >= 3)
+    coded = frequency.filter(word & (F.length("token") >= 4)).select(F.xxhash64("token").alias("cid"), "token", (~given & (F.col("df") <= often)).alias("rare"), given.alias("given"))
     bands = materialise(coded.mapInArrow(_token_keys, "cid long, keys array<long>"), "names-bands")
-    near = (_candidates(bands).join(coded.select(F.col("cid").alias("a"), F.col("token").alias("ta"), F.col("rare").alias("ra")), "a")
+    ends = coded.select("cid", "token", "rare", "given")
+    near = (_candidates(bands).join(ends.select(F.col("cid").alias("a"), F.col("token").alias("ta"), F.col("rare").alias("ra"), F.col("given").alias("ga")), "a")
             # Two common words are never one word mistyped.
-            .join(coded.select(F.col("cid").alias("b"), F.col("token").alias("tb"), F.col("rare").alias("rb")), "b").filter("ra or rb").select("ta", "tb")
+            .join(ends.select(F.col("cid").alias("b"), F.col("token").alias("tb"), F.col("rare").alias("rb"), F.col("given").alias("gb")), "b").filter("ra or rb")
             # Two edits with transpositions are at most four without; this test stays in the JVM and keeps every slip.
-            .filter((F.abs(F.length("ta") - F.length("tb")) <= 2) & (F.levenshtein("ta", "tb", 4) >= 0)).mapInArrow(_slips, "ta string, tb string"))
+            .filter((F.abs(F.length("ta") - F.length("tb")) <= 2) & (F.levenshtein("ta", "tb", 4) >= 0))
+            .filter((F.least(F.length("ta"), F.length("tb")) >= 9) | (F.levenshtein("ta", "tb", 2) >= 0))
+            # A given name is the anchor of what may be it mistyped.
+            .select(F.when(F.col("gb"), F.col("tb")).otherwise(F.col("ta")).alias("ta"), F.when(F.col("gb"), F.col("ta")).otherwise(F.col("tb")).alias("tb")).mapInArrow(_slips, "ta string, tb string"))
     near = materialise(near, "names-slips")
-    member = materialise(held.join(frequency.filter(telling & (F.length("token") >= 3)), "token").select("token", "nid"), "names-held")
-    same = member.select("token", F.col("nid").alias("a")).join(member.select("token", F.col("nid").alias("b")), "token").filter("a < b").select("a", "b")
-    across = (near.join(member.select(F.col("token").alias("ta"), F.col("nid").alias("u")), "ta").join(member.select(F.col("token").alias("tb"), F.col("nid").alias("v")), "tb")
-              .filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
-    # Common tokens, and rare ones that can be one of them mistyped, lead to names by the common token and a second key.
-    hot = frequency.filter(word & ~given & (F.col("df") > COMMON) & (F.length("token") >= 3)).select("token")
-    plain = held.join(frequency.filter(word & ~given & (F.length("token") >= 3)).select("token"), "token").select("nid").distinct()
-    formal = held.filter(given).join(plain, "nid", "left_anti")
-    typed = near.select(F.col("ta").alias("token"), F.col("tb").alias("anchor")).unionByName(near.select(F.col("tb").alias("token"), F.col("ta").alias("anchor")))
-    typed = typed.join(frequency.filter(word & ~telling).select(F.col("token").alias("anchor")), "anchor", "left_semi")
-    led = (held.join(hot, "token").unionByName(formal).select("nid", "token", F.col("token").alias("anchor"))
-           .unionByName(held.join(typed, "token").select("nid", "token", "anchor")))
+    # Each word leads to its names by itself and a second key; a word that may be another one mistyped also by that one.
+    words = held.join(frequency.filter(plain).select("token"), "token")
+    formal = held.filter(given).join(words.select("nid").distinct(), "nid", "left_anti")
+    typed = held.join(near.select(F.col("tb").alias("token"), F.col("ta").alias("anchor")), "token").select("nid", "token", "anchor")
+    led = words.unionByName(formal).select("nid", "token", F.col("token").alias("anchor")).unionByName(typed)
 
     @F.pandas_udf("array<string>")
     def seconds(tokens, token):
-        return tokens.combine(token, _second_keys)
+        return pd.Series([_second_keys(t.split(" "), x) for t, x in zip(tokens, token)])
 
-    keyed = led.join(names.select("nid", "tokens"), "nid").select("nid", "anchor", F.explode(seconds("tokens", "token")).alias("second"))
+    keyed = led.join(names.select("nid", F.array_join("tokens", " ").alias("tokens")), "nid").select("nid", "anchor", F.explode(seconds("tokens", "token")).alias("second"))
     led = materialise(keyed.select(F.col("nid").alias("cid"), F.array(F.xxhash64("anchor", "second")).alias("keys")).distinct(), "names-led")
     whole = names.select(F.array_join(F.array_sort("tokens"), " ").alias("key"), "nid")
     star = (whole.join(whole.groupBy("key").agg(F.min("nid").alias("rep")), "key").filter("nid <> rep")
             .select(F.col("rep").alias("a"), F.col("nid").alias("b")))
-    pairs = same.unionByName(across).unionByName(star).unionByName(_candidates(led)).distinct()
+    pairs = star.unionByName(_candidates(led)).distinct()
     # The common words of each name travel with it: two different common words are never one word mistyped.
-    usual = held.join(frequency.filter(F.col("df") > COMMON), "token").groupBy("nid").agg(F.collect_set("token").alias("common"))
-    known = names.join(usual, "nid", "left").select("nid", "tokens", "kind", F.coalesce("common", F.array().cast("array<string>")).alias("common"))
+    usual = held.join(frequency.filter(F.col("df") > often), "token").groupBy("nid").agg(F.array_join(F.collect_set("token"), " ").alias("common"))
+    known = names.join(usual, "nid", "left").select("nid", F.array_join("tokens", " ").alias("tokens"), "kind", F.coalesce("common", F.lit("")).alias("common"))
     known = materialise(known, "names-known")
     full = (pairs.join(known.select(F.col("nid").alias("a"), F.col("tokens").alias("xa"), F.col("kind").alias("ka"), F.col("common").alias("ca")), "a")
             .join(known.select(F.col("nid").alias("b"), F.col("tokens").alias("xb"), F.col("kind").alias("kb"), F.col("common").alias("cb")), "b"))
