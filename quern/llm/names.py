@@ -8,7 +8,7 @@
    padded q-grams.  The number
    of bands is tuned from the collision curve ``1 - (1 - J^r)^b`` (see
    :func:`bands_for`).  Pairs within one edit (two in long tokens) are kept.
-3. Names that share a token or hold two linked ones, and agree in a second key, are
+3. Names with two pairs of tokens that can be partners (:func:`_name_keys`) are
    compared by a
    Monge-Elkan similarity over their tokens, where equal words, nicknames,
    initials, abbreviations and single typing errors count, and every full word
@@ -17,10 +17,10 @@
    a centre, its neighbours join it, and so on among the rest.
 
 Skew: all work is on distinct names and tokens, counted with partial aggregation.
-Every token, however common, makes candidates together with a second part of the name
-(see :func:`_second_keys`), compared in blocks; so does a token that can be another
-one mistyped.  Given names do so in names without any other telling token.  Generic
-words make no candidates; equal token sets are linked as a star around their smallest
+No token makes candidates by itself, however common or rare: it takes a second one that
+fits too, so what is compared are mostly variants; keys are compared in blocks.  Given
+names lead in names without any other telling token only, generic words never.  Equal
+token sets are linked as a star around their smallest
 member.  Two words that many names hold (:func:`common_from`) are never taken as one
 word mistyped; what counts as many grows with the number of names.
 
@@ -35,7 +35,6 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,29 +270,66 @@ def _slips(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("ta", "tb")], names=["ta", "tb"])
 
 
-def _second_keys(tokens: list[str], token: str) -> list[str]:
-    """Keys of a name beside ``token``: any two names that are linked through it share one.
+def _forms(token: str, typed: list[str]) -> set[str]:
+    """What the token can stand for: itself, the words it may be mistyped, formal names."""
+    out = {token, *typed}
+    return out | {"\x01" + f for x in out for f in FORMALS.get(x, ())}
 
-    Linked names of more than one token have a second pair of partners.  These agree
-    in the first letter of the word or its formal name (equal words, nicknames,
-    initials), or else one error altered that letter and the last one is equal, or
-    two errors in a long word altered both and the middle is equal.
+
+def _coarse(token: str) -> set[str]:
+    """What two errors in a long word leave: its first or last letter, or else the middle."""
+    out = set()
+    for v in {token} | FORMALS.get(token, set()):
+        if len(v) >= 9:
+            out |= {"\x04" + v[0], "\x05" + v[-1]} | {"\x06" + v[i : len(v) - j] for i in range(3) for j in range(3)}
+    return out
+
+
+def _leading(tokens: list[str]) -> list[str]:
+    """The tokens that lead to a name: telling ones, else given names."""
+    plain = [t for t in tokens if len(t) >= 3 and not t.isdigit() and t not in FIXED_WORDS and t not in FORMALS]
+    return plain or [t for t in tokens if t in FORMALS and t not in FIXED_WORDS]
+
+
+def _name_keys(tokens: list[str], typed: dict[str, list[str]]) -> tuple[set[str], set[str], set[str]]:
+    """Keys of a name: of pairs of tokens, of a token and an initial the name has, of a token and an initial it can have.
+
+    Linked names of more than one token have two pairs of partners, one of them
+    of leading tokens.  Partners that are no initials have a form in common, so
+    the names share a key of two forms (long words also have coarse ones, which find
+    what is too far apart for the bands); an initial meets the first letters of the
+    words of the other name.  A name of one token has that alone.
     """
-    others = list(tokens)
-    others.remove(token)
-    out = set() if others else {"alone"}
-    for x in others:
-        if x.isdigit():
-            out.add("=" + x)
-            continue
-        out |= {"f" + letter for letter, word in PLACE_LETTERS.items() if word == x}
-        for v in {x} | FORMALS.get(x, set()):
-            out.add("f" + v[0])
-            if len(v) >= 4:
-                out.add("l" + v[-1])
-            if len(v) >= 9:
-                out |= {"m" + v[i : len(v) - j] for i in range(3) for j in range(3)}
-    return sorted(out)
+    forms = {t: _forms(t, typed.get(t, [])) for t in tokens}
+    both, has, can = set(), set(), set()
+    for lead in _leading(tokens):
+        others = list(tokens)
+        others.remove(lead)
+        for f in forms[lead]:
+            if not others:
+                both.add(f)
+            for x in others:
+                both |= {"\x02".join(sorted((f, g))) for g in forms[x] | _coarse(x)}
+                if len(x) == 1:
+                    has.add(f + "\x03" + x)
+                else:
+                    letters = {v.lstrip("\x01")[0] for v in {x, *("\x01" + y for y in FORMALS.get(x, ()))}} | {c for c, w in PLACE_LETTERS.items() if w == x}
+                    can |= {f + "\x03" + c for c in letters}
+    return both, has, can
+
+
+def _keys_of_names(batches):
+    """The keys of each name as three lists; ``typed`` holds pairs of a token and what it may be, one string a name."""
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for tokens, typed in zip(batch.column("tokens").to_pylist(), batch.column("typed").to_pylist()):
+            known: dict[str, list[str]] = {}
+            for pair in typed.split("\n") if typed else ():
+                x, y = pair.split(" ")
+                known.setdefault(x, []).append(y)
+            for column, keys in zip(out, _name_keys(tokens.split(" "), known)):
+                column.append(sorted(keys))
+        yield pa.RecordBatch.from_arrays([batch.column("nid"), *(pa.array(x, pa.list_(pa.string())) for x in out)], names=["nid", "both", "has", "can"])
 
 
 def _links(batches):
@@ -331,38 +367,37 @@ def name_links(entities: DataFrame, name_col: str = "name", type_col: str = "typ
     held = names.select("nid", F.explode(F.array_distinct("tokens")).alias("token")).filter(F.length("token") >= 2)
     frequency = materialise(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "names-tokens")
     often = common_from(names.count())
-    # Words that are common by their nature make no candidates either: two names that share only these are never linked.
     given = F.col("token").isin(sorted(set(FORMALS) - FIXED_WORDS))
-    word = ~F.col("token").rlike(r"^\d+$") & ~F.col("token").isin(sorted(FIXED_WORDS))
-    plain = word & ~given & (F.length("token") >= 3)
-    coded = frequency.filter(word & (F.length("token") >= 4)).select(F.xxhash64("token").alias("cid"), "token", (~given & (F.col("df") <= often)).alias("rare"), given.alias("given"))
+    fixed = F.col("token").isin(sorted(FIXED_WORDS))
+    # Fixed words and formal names take part even if no name holds them, as what a mistyped one may be.
+    usual = names.sparkSession.createDataFrame([(t, 0) for t in sorted({*FORMALS, *FIXED_WORDS})], "token string, df long")
+    counted = frequency.unionByName(usual.join(frequency, "token", "left_anti")).filter(~F.col("token").rlike(r"^\d+$") & (F.length("token") >= 4))
+    coded = materialise(counted.select(F.xxhash64("token").alias("cid"), "token", "df", (~given & ~fixed & (F.col("df") <= often)).alias("rare"), (given | fixed).alias("given")), "names-coded")
     bands = materialise(coded.mapInArrow(_token_keys, "cid long, keys array<long>"), "names-bands")
-    ends = coded.select("cid", "token", "rare", "given")
-    near = (_candidates(bands).join(ends.select(F.col("cid").alias("a"), F.col("token").alias("ta"), F.col("rare").alias("ra"), F.col("given").alias("ga")), "a")
+    ends = [coded.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("token", "df", "rare", "given")]) for x in "ab"]
+    # Which of the two the other may be: a given name or fixed word, else the more frequent one.
+    lead = F.struct("givenb", "dfb", "tokenb") > F.struct("givena", "dfa", "tokena")
+    near = (_candidates(bands).join(ends[0], "a")
             # Two common words are never one word mistyped.
-            .join(ends.select(F.col("cid").alias("b"), F.col("token").alias("tb"), F.col("rare").alias("rb"), F.col("given").alias("gb")), "b").filter("ra or rb")
-            # Two edits with transpositions are at most four without; this test stays in the JVM and keeps every slip.
-            .filter((F.abs(F.length("ta") - F.length("tb")) <= 2) & (F.levenshtein("ta", "tb", 4) >= 0))
-            .filter((F.least(F.length("ta"), F.length("tb")) >= 9) | (F.levenshtein("ta", "tb", 2) >= 0))
-            # A given name is the anchor of what may be it mistyped.
-            .select(F.when(F.col("gb"), F.col("tb")).otherwise(F.col("ta")).alias("ta"), F.when(F.col("gb"), F.col("ta")).otherwise(F.col("tb")).alias("tb")).mapInArrow(_slips, "ta string, tb string"))
+            .join(ends[1], "b").filter("rarea or rareb")
+            # Two edits with transpositions are at most four without, one is at most two; these tests stay in the JVM and keep every slip.
+            .filter((F.abs(F.length("tokena") - F.length("tokenb")) <= 2) & (F.levenshtein("tokena", "tokenb", 4) >= 0))
+            .filter((F.least(F.length("tokena"), F.length("tokenb")) >= 9) | (F.levenshtein("tokena", "tokenb", 2) >= 0))
+            .select(F.when(lead, F.col("tokena")).otherwise(F.col("tokenb")).alias("ta"), F.when(lead, F.col("tokenb")).otherwise(F.col("tokena")).alias("tb")).mapInArrow(_slips, "ta string, tb string"))
     near = materialise(near, "names-slips")
-    # Each word leads to its names by itself and a second key; a word that may be another one mistyped also by that one.
-    words = held.join(frequency.filter(plain).select("token"), "token")
-    formal = held.filter(given).join(words.select("nid").distinct(), "nid", "left_anti")
-    typed = held.join(near.select(F.col("tb").alias("token"), F.col("ta").alias("anchor")), "token").select("nid", "token", "anchor")
-    led = words.unionByName(formal).select("nid", "token", F.col("token").alias("anchor")).unionByName(typed)
-
-    @F.pandas_udf("array<string>")
-    def seconds(tokens, token):
-        return pd.Series([_second_keys(t.split(" "), x) for t, x in zip(tokens, token)])
-
-    keyed = led.join(names.select("nid", F.array_join("tokens", " ").alias("tokens")), "nid").select("nid", "anchor", F.explode(seconds("tokens", "token")).alias("second"))
-    led = materialise(keyed.select(F.col("nid").alias("cid"), F.array(F.xxhash64("anchor", "second")).alias("keys")).distinct(), "names-led")
+    typed = (held.join(near.select(F.col("ta").alias("token"), "tb"), "token").groupBy("nid")
+             .agg(F.array_join(F.collect_set(F.concat_ws(" ", "token", "tb")), "\n").alias("typed")))
+    keyed = (names.select("nid", F.array_join("tokens", " ").alias("tokens")).join(typed, "nid", "left")
+             .mapInArrow(_keys_of_names, "nid long, both array<string>, has array<string>, can array<string>"))
+    keyed = materialise(keyed.select("nid", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("both", "has", "can")]), "names-keyed")
+    led = keyed.select(F.col("nid").alias("cid"), F.col("both").alias("keys"))
+    # What meets here is linked, unless another part of the names differs.
+    initials = (keyed.select(F.col("nid").alias("u"), F.explode("has").alias("key")).join(keyed.select(F.col("nid").alias("v"), F.explode("can").alias("key")), "key")
+                .filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
     whole = names.select(F.array_join(F.array_sort("tokens"), " ").alias("key"), "nid")
     star = (whole.join(whole.groupBy("key").agg(F.min("nid").alias("rep")), "key").filter("nid <> rep")
             .select(F.col("rep").alias("a"), F.col("nid").alias("b")))
-    pairs = star.unionByName(_candidates(led)).distinct()
+    pairs = star.unionByName(_candidates(led)).unionByName(initials).distinct()
     # The common words of each name travel with it: two different common words are never one word mistyped.
     usual = held.join(frequency.filter(F.col("df") > often), "token").groupBy("nid").agg(F.array_join(F.collect_set("token"), " ").alias("common"))
     known = names.join(usual, "nid", "left").select("nid", F.array_join("tokens", " ").alias("tokens"), "kind", F.coalesce("common", F.lit("")).alias("common"))
