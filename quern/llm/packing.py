@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import materialise
+
 CAPACITY, SHARD_ITEMS = 2048, 20_000
 
 
@@ -115,6 +117,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     ``items`` has one row per id.  Windows are numbered ``shard * 2^32 + n``.
     """
     sized = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).filter("size > 0")
+    # Sizes are costly where they are counted from texts, and used twice.
+    sized = materialise(sized, "packing-sizes")
     n = sized.count()
     shards = max(1, round(n / shard_items))
     whole = F.floor((F.col("size") - 1) / capacity)

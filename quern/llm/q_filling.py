@@ -33,5 +33,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_selection(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p7_windows, p7_fill, p8_selection, p8_shares)}
+def p8_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of every output shard and their deviation from the overall shares."""
+    return mixing.shard_shares(p8_selection(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p7_windows, p7_fill, p8_selection, p8_shares, p8_shards)}
 SQL: dict[str, str] = {}

@@ -4,8 +4,11 @@ A token is a whitespace-separated field in the Unicode sense.  A rolling hash
 over ``WINDOW`` tokens marks, within the allowed sizes after the last cut, the
 position of its smallest value: a landmark that depends on the words around it
 alone.  The cut snaps from the landmark to the nearest natural boundary (the
-distance counts half to a paragraph end and three quarters to a line end), and
-stays at the landmark where no boundary lies in reach.  Since landmarks move only
+distance counts half to a paragraph end and three quarters to a line end).  Where no
+boundary lies between the least and the largest size, the cut goes to the last one
+below the least size, if the piece still holds more than it repeats: a natural
+boundary comes before the least size.  Only where there is none at all does it stay
+at the landmark.  Since landmarks move only
 with the words around them, an edit alters neighbouring pieces only.
 
 Each piece after the first repeats the last ``overlap`` tokens of the piece before,

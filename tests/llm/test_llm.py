@@ -365,6 +365,25 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_slots_are_drawn_by_shard_and_exact_in_total(spark):
+    available, wanted = np.array([40, 7000, 900]), np.array([100, 5000, 900])
+    out = mixing._slots(spark, ["a", "b", "c"], available, wanted, 3).toPandas()
+    assert sorted(out["slot_no"]) == list(range(6000)) and out.groupby("source").size().to_dict() == {"a": 100, "b": 5000, "c": 900}
+    assert not out.duplicated(["source", "repetition", "block_no"]).any() and (out["block_no"] < out["source"].map(dict(zip("abc", available)))).all()
+    assert out[out["source"] == "a"]["repetition"].max() == 2
+    # The draws vary by shard and follow the shares.
+    drawn = out[out["source"] == "c"].groupby("shard_no").size()
+    assert drawn.nunique() > 1 and (abs(drawn.iloc[:-1] - 1024 * 0.15) < 60).all()
+
+
+def test_cuts_below_the_least_size_only_without_boundary_in_reach():
+    # The only sentence end lies after 60 tokens, below the least size of 100.
+    t = " ".join(["w"] * 59 + ["end."] + ["w"] * 400)
+    assert splitting.cuts(t)[1][0] == 60
+    assert 100 <= splitting.cuts(" ".join(["w"] * 500))[1][0] <= 216
+    assert splitting.cuts(" ".join(["w"] * 9 + ["end."] + ["w"] * 400))[1][0] >= 100
+
+
 # --- subjects ---------------------------------------------------------------
 
 def test_statements():
