@@ -8,9 +8,11 @@ with a deviation of about ``sqrt((1 - a^2) / a^2 / (D - 1))``.  Vectors whose
 estimate plus ``BOUND`` deviations could still reach the k-th best lower bound
 (or the wanted similarity) are reranked by the exact inner product.
 
-Every vector is indexed in the list of its nearest centroid; a query is compared
-with the ``probes`` nearest lists.  Centroids come from a sample of at most
-``SAMPLE`` vectors per namespace, everything else covers all vectors.  Lists and
+Every vector is indexed in the list of its nearest centroid, with its code and
+scalar, which are made once; a query is compared with the ``probes`` nearest lists,
+by codes first, and the vectors themselves are read for what may be an answer only.  Centroids come from a sample of at most
+``SAMPLE`` vectors per namespace, or ``PER_LIST`` a list, of which there are at most
+``MAX_LISTS``; everything else covers all vectors.  Lists and
 their queries are cut into blocks, so no task holds a whole large list.
 
 Exact copies of a vector are one class, found by hash; only the ``k + 1``
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.tables import materialise
 
-SAMPLE, LIST_SIZE, MAX_LISTS = 20_000, 500, 512
+SAMPLE, PER_LIST, LIST_SIZE, MAX_LISTS = 20_000, 20, 500, 4096
 INDEX_BLOCK, QUERY_BLOCK = 4_000, 8_000
 #: Deviations within which an estimate is trusted.
 BOUND = 3.0
@@ -68,7 +70,7 @@ def train(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.
     """Spherical k-means on unit vectors."""
     c = sample[np.random.default_rng(seed).choice(len(sample), lists, replace=False)]
     for _ in range(rounds):
-        near = (sample @ c.T).argmax(axis=1)
+        near = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(sample), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, sample)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -99,7 +101,7 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
     centroids = {}
     for ns, n in sizes.items():
         lists = int(min(max(n // LIST_SIZE, 1), MAX_LISTS))
-        picked = classes.filter(F.col("namespace") == ns).orderBy(F.xxhash64("h"), "h").select("vector").limit(SAMPLE).toArrow()
+        picked = classes.filter(F.col("namespace") == ns).orderBy(F.xxhash64("h"), "h").select("vector").limit(max(SAMPLE, PER_LIST * lists)).toArrow()
         centroids[ns] = train(_unit(picked.column("vector"), dim), lists)
     shared = spark.sparkContext.broadcast(centroids)  # at most MAX_LISTS * dim floats a namespace
 
@@ -114,13 +116,17 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
                 c = shared.value[ns]
                 order = np.argsort(-(unit[at] @ c.T), axis=1, kind="stable")[:, :probes]
                 near[at[:, None], np.arange(order.shape[1])] = order
+            bits, scalars = encode(unit, turn)
             yield pa.RecordBatch.from_arrays([
                 batch.column("namespace"), batch.column("h"), batch.column("asked"), pa.array([x.tobytes() for x in unit], pa.binary()),
-                pa.array([x[x >= 0].tolist() for x in near], pa.list_(pa.int32()))], names=["namespace", "h", "asked", "unit", "near"])
-
-    placed = materialise(classes.mapInArrow(assign, "namespace string, h long, asked boolean, unit binary, near array<int>"), "knn-lists")
-    index = placed.select("namespace", F.col("near")[0].alias("list"), "h", "unit", F.lit(False).alias("is_query"))
-    query = placed.filter("asked").select("namespace", F.explode("near").alias("list"), "h", "unit", F.lit(True).alias("is_query"))
+                pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(scalars.astype(np.float32)),
+                pa.array([x[x >= 0].tolist() for x in near], pa.list_(pa.int32()))], names=["namespace", "h", "asked", "unit", "code", "scalar", "near"])
+
+    turn = rotation(dim)
+    placed = materialise(classes.mapInArrow(assign, "namespace string, h long, asked boolean, unit binary, code binary, scalar float, near array<int>"), "knn-lists")
+    index = placed.select("namespace", F.col("near")[0].alias("list"), "h", "unit", "code", "scalar", F.lit(False).alias("is_query"))
+    none = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scalar")]
+    query = placed.filter("asked").select("namespace", F.explode("near").alias("list"), "h", "unit", *none, F.lit(True).alias("is_query"))
     both = index.unionByName(query)
     # Blocks of a list: one small row per list, at most MAX_LISTS a namespace.
     loads = (both.groupBy("namespace", "list").agg(F.count_if(~F.col("is_query")).alias("ni"), F.count_if("is_query").alias("nq"))
@@ -129,7 +135,7 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("bi")).otherwise(F.col("bq")) - 1))
     spread = (both.join(F.broadcast(loads), ["namespace", "list"]).withColumn("mine", part).withColumn("other", other)
               .select("namespace", "list", F.when(F.col("is_query"), F.col("mine")).otherwise(F.col("other")).alias("qb"),
-                      F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("ib"), "h", "unit", "is_query"))
+                      F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("ib"), "h", "unit", "code", "scalar", "is_query"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         unit = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(-1, dim)
@@ -137,8 +143,8 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
         x, hx, q, hq = unit[~asks], h[~asks], unit[asks], h[asks]
         found = []
         if len(x) and len(q):
-            turn = rotation(dim)
-            bits, scalars = encode(x, turn)
+            own = pdf[~asks]
+            bits, scalars = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(x), -1), own["scalar"].to_numpy(np.float32)
             for start in range(0, len(q), 512):
                 part_q = q[start : start + 512]
                 est, dev = estimate(part_q @ turn, bits, scalars)
