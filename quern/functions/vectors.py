@@ -45,6 +45,15 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(ok, dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
+def random_unit(seed: Column, dim: int) -> Column:
+    """A random direction that depends on the seed alone: normalised normal components from hashes."""
+    def uniform(i: Column, which: int) -> Column:
+        return (F.pmod(F.xxhash64(seed, i, F.lit(which)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+
+    normal = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.sqrt(F.log(uniform(i, 0)) * -2) * F.cos(uniform(i, 1) * 6.283185307179586))
+    return normalise(normal)
+
+
 def cosine_shorter(a: Column, b: Column) -> Column:
     """Cosine over the components both vectors have."""
     n = F.least(F.size(a), F.size(b))

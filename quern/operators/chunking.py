@@ -6,6 +6,8 @@ Blank and null texts give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,19 @@ def _windows(total: Column, size: int, step: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((total - size) / step)).cast("int"))
 
 
-def by_tokens(df: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 100) -> DataFrame:
-    """Sliding windows of ``size`` fields, each repeating ``overlap`` of the one before."""
+def by_tokens(df: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 100,
+              encode: Callable[[Column], Column] = T.fields, decode: Callable[[Column], Column] = lambda tokens: F.array_join(tokens, " ")) -> DataFrame:
+    """Sliding windows of ``size`` tokens, each repeating ``overlap`` of the one before.
+
+    ``encode`` gives the tokens of a text as an array (fields by default, or the
+    numbers of a tokenizer), ``decode`` the text of a slice of them.
+    """
     _check(size, overlap)
     step = size - overlap
-    words = df.select(F.col(id_col).alias("id"), T.fields(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    cut = words.select("id", "w", F.explode(_windows(F.size("w"), size, step)).alias("chunk_order_index"))
-    part = F.slice("w", F.col("chunk_order_index") * step + 1, F.lit(size))
-    return cut.select("id", "chunk_order_index", F.array_join(part, " ").alias("content"), F.size(part).alias("tokens"))
+    words = df.select(F.col(id_col).alias("id"), encode(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+    # The windows are cut before the rows are multiplied, so no row carries the whole text along.
+    parts = F.transform(_windows(F.size("w"), size, step), lambda i: F.slice("w", i * step + 1, F.lit(size)))
+    return words.select("id", F.posexplode(parts).alias("chunk_order_index", "part")).select("id", "chunk_order_index", decode(F.col("part")).alias("content"), F.size("part").alias("tokens"))
 
 
 def _dense(df: DataFrame, place: str) -> DataFrame:

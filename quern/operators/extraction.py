@@ -72,6 +72,13 @@ def split_by_cache(chunks: DataFrame, cache: DataFrame, content: str = "content"
     return known.join(cache.select("cache_key", "raw"), "cache_key"), known.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def cache_ratio(hits: DataFrame, misses: DataFrame) -> DataFrame:
+    """``n, n_hits, ratio``: how many replies the cache has; a ratio of 0 without any chunk."""
+    both = hits.select(F.lit(1).alias("h")).unionByName(misses.select(F.lit(0).alias("h")))
+    n, found = F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0))
+    return both.agg(n.alias("n"), found.alias("n_hits"), F.coalesce(found / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("ratio"))
+
+
 def glean(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], rounds: int = 1) -> DataFrame:
     """Adds the entities of follow-up rounds: ``id, name, type, description, round``.
 
@@ -90,13 +97,14 @@ def glean(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], rounds
     return held
 
 
-def extract(chunks: DataFrame, complete: Callable[[DataFrame], DataFrame], cache: DataFrame, id_col: str = "chunk_id", content: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, relations and new cache rows of all chunks.
+def extract(chunks: DataFrame, complete: Callable[[DataFrame], DataFrame], cache: DataFrame, id_col: str = "chunk_id", content: str = "content",
+            version: str = "v1") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and new cache rows of all chunks, for a version of the prompt.
 
     ``complete`` takes ``cache_key, prompt`` and returns ``cache_key, raw``; it sees
     each content that the cache lacks once.
     """
-    hits, misses = split_by_cache(chunks, cache, content)
+    hits, misses = split_by_cache(chunks, cache, content, version)
     fresh = complete(misses.select("cache_key", user_prompt(F.col(content)).alias("prompt")).dropDuplicates(["cache_key"]))
     replies = hits.select(F.col(id_col).alias("id"), "raw").unionByName(misses.select(F.col(id_col).alias("id"), "cache_key").join(fresh, "cache_key").select("id", "raw"))
     parsed = records(replies, "id", "raw")

@@ -17,6 +17,10 @@ class InvalidEdge(ValueError):
     """An edge with an empty end or equal ends."""
 
 
+class InvalidNode(ValueError):
+    """A node without a name."""
+
+
 def valid_edge(src: str = "src_id", tgt: str = "tgt_id"):
     s, t = F.coalesce(F.col(src), F.lit("")), F.coalesce(F.col(tgt), F.lit(""))
     return (s != "") & (t != "") & (s != t)
@@ -66,6 +70,20 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return adjacency(edges).filter(F.col("v") == node).select(F.col("n").alias("name")).orderBy("name")
 
 
+def is_truncated(edges: DataFrame, found: DataFrame, max_depth: int) -> bool:
+    """Whether a search left out nodes it could reach within its depth: some node short of the depth has a neighbour outside."""
+    inner = found.filter(F.col("depth") < max_depth).select(F.col("name").alias("v"))
+    outside = adjacency(edges).join(inner, "v", "left_semi").select(F.col("n").alias("name")).join(found.select("name"), "name", "left_anti")
+    return not outside.isEmpty()
+
+
+def check_nodes(nodes: DataFrame, name: str = "name") -> DataFrame:
+    """The nodes; raises if one has no name."""
+    if not nodes.filter(F.coalesce(F.col(name), F.lit("")) == "").isEmpty():
+        raise InvalidNode("a node has no name")
+    return nodes
+
+
 def search(edges: DataFrame, seed: str, max_depth: int, max_nodes: int) -> DataFrame:
     """Level-wise search from a seed: ``name, depth, pos`` of the admitted nodes.
 
@@ -76,7 +94,8 @@ def search(edges: DataFrame, seed: str, max_depth: int, max_nodes: int) -> DataF
     spark = edges.sparkSession
     if max_nodes <= 0 or max_depth < 0 or not seed:
         return spark.createDataFrame([], "name string, depth int, pos int")
-    both, degrees = adjacency(edges), degree(edges)
+    # Degrees are counted once, not at every level.
+    both, degrees = adjacency(edges), materialise(degree(edges), "graph-degrees")
     if degrees.filter(F.col("name") == seed).limit(1).count() == 0:
         return spark.createDataFrame([], "name string, depth int, pos int")
     held = [(seed, 0, 0)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import jsontext
 from quern.functions import text as T
 
 
@@ -71,6 +73,23 @@ def assemble(question: str, entity_lines: list[str], relation_lines: list[str],
     return cut(prompt, p.max_total_tokens), [i for i, _ in packed]
 
 
+KEYWORD_PROMPT = (
+    "Name the keywords of the question below as one JSON object with two lists: high_level_keywords for its themes, "
+    "low_level_keywords for the names and things in it.\n\nQuestion: {question}\n"
+)
+
+
+def ask_keywords(questions: DataFrame, complete: Callable[[DataFrame], DataFrame], key: str, question: str) -> DataFrame:
+    """``key, high, low``: the keywords of each question; where a list cannot be read or is empty, the question itself.
+
+    ``complete`` takes ``key, prompt`` and returns ``key, text``.
+    """
+    asked = questions.select(key, jsontext.fill(KEYWORD_PROMPT, question=F.col(question)).alias("prompt"))
+    back = questions.select(key, F.coalesce(question, F.lit("")).alias("_q")).join(complete(asked).select(key, F.coalesce("text", F.lit("")).alias("_t")), key)
+    found = back.select(key, "_q", jsontext.keywords(F.col("_t")).alias("k"))
+    return found.select(key, jsontext.or_query(F.col("k.high"), F.col("_q")).alias("high"), jsontext.or_query(F.col("k.low"), F.col("_q")).alias("low"))
+
+
 def text_content(df: DataFrame, *columns: str) -> Column:
     """The first non-empty of the content columns that the table has."""
     there = [F.col(c) for c in (columns or ("content", "text", "chunk_content")) if c in df.columns]

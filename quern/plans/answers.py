@@ -26,45 +26,49 @@ def _meta(name: str):
     return F.get_json_object("metadata", f"$.{name}")
 
 
-def _first_sources(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """The first sources of each key, as many as an answer can use.
+def _first_sources(pairs: DataFrame, keys: list[str], chunks: int) -> DataFrame:
+    """The first sources of each key, as many as an answer of ``chunks`` chunks can use.
 
-    An answer shows ``CHUNKS`` distinct chunks; of any one list it can use at most
-    so many, besides as many seen before, so lists of twice that length give the
-    same answer and stay bounded for a key of a third of all rows.
+    Of any one list it can use at most so many, besides as many seen before, so
+    lists of twice that length give the same answer and stay bounded for a key of a
+    third of all rows.
     """
     rank = Window.partitionBy(*keys).orderBy("s")
-    first = pairs.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= 2 * CHUNKS)
+    first = pairs.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= 2 * chunks)
     return first.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("source_ids"))
 
 
-def stores(spark: SparkSession, d: str, mode: str) -> retrieval.Stores:
-    """The tables a mode needs: vectors of full length, merged entities and edges."""
-    index = store.latest(table(spark, d, "vector_index"), "id", "ingested_at").filter(F.size("vector") == DIM)
+def stores(spark: SparkSession, d: str, mode: str, chunks: int = CHUNKS) -> retrieval.Stores:
+    """The tables a mode needs for answers of ``chunks`` chunks: vectors of full length, merged entities and edges."""
+    def index(namespace: str) -> DataFrame:
+        # An id is in one namespace, so only its rows are read before the latest are taken.
+        rows = table(spark, d, "vector_index").filter(F.col("namespace") == namespace).select("id", "vector", "metadata", "ingested_at")
+        return store.latest(rows, "id", "ingested_at").filter(F.size("vector") == DIM)
+
     out = retrieval.Stores(chunks_now(spark, d))
     if mode == "naive":
-        out.chunk_index = index.filter("namespace = 'chunks'").select("id", "vector")
+        out.chunk_index = index("chunks").select("id", "vector")
         return out
     mentions = store.latest(table(spark, d, "entities"), "mention_id", "extracted_at").filter("name <> ''")
     heads = mentions.groupBy("name").agg(F.min_by(F.struct("type", "description"), F.struct("extracted_at", "mention_id")).alias("h")).select("name", "h.*")
     sources = (mentions.select("name", F.explode("source_ids").alias("s")).filter("s <> ''").distinct())
-    out.entities = heads.join(_first_sources(sources, ["name"]), "name", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
+    out.entities = heads.join(_first_sources(sources, ["name"], chunks), "name", "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>")))
     relations = store.latest(table(spark, d, "relations"), "rel_id", "extracted_at")
     edges = graph.keyed(relations)
     top = edges.groupBy("a", "b").agg(F.min_by(F.struct("keywords", "description"), F.struct("extracted_at", "rel_id")).alias("h")).select("a", "b", "h.*")
     cited = edges.select("a", "b", F.explode("source_ids").alias("s")).filter("s <> ''").distinct()
-    out.relations = materialise(top.join(_first_sources(cited, ["a", "b"]), ["a", "b"], "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>"))), "answer-edges")
+    out.relations = materialise(top.join(_first_sources(cited, ["a", "b"], chunks), ["a", "b"], "left").withColumn("source_ids", F.coalesce("source_ids", F.array().cast("array<string>"))), "answer-edges")
     if mode in ("local", "hybrid"):
-        out.entity_index = index.filter("namespace = 'entities'").select("id", "vector", _meta("entity_id").alias("entity_id"))
+        out.entity_index = index("entities").select("id", "vector", _meta("entity_id").alias("entity_id"))
     if mode in ("global", "hybrid"):
         rows = relations.select(F.col("rel_id").alias("_id"), "src_id", "tgt_id", "keywords", "description", F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"))
-        out.relation_index = (index.filter("namespace = 'relations'").select("id", "vector", _meta("rel_id").alias("_id")).join(rows, "_id").drop("_id"))
+        out.relation_index = (index("relations").select("id", "vector", _meta("rel_id").alias("_id")).join(rows, "_id").drop("_id"))
     return out
 
 
 def _refs(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    s = stores(spark, d, mode)
     param = QueryParam(mode=mode, top_k=10, chunk_top_k=CHUNKS)
+    s = stores(spark, d, mode, param.with_defaults().chunk_top_k)
     rows = retrieval.context_rows(s, retrieval.references(s, QUESTION, embed_question, param, HIGH, LOW))
     return rows.select("ord", "chunk_id", F.octet_length("content").alias("n_bytes"))
 
@@ -91,8 +95,13 @@ def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_assemble(spark: SparkSession, d: str) -> DataFrame:
     """The answer of the hybrid mode by the context-echo stand-in: a row."""
-    s = stores(spark, d, "hybrid")
-    out = retrieval.answer(s, QUESTION, embed_question, QueryParam(chunk_top_k=CHUNKS, max_total_tokens=2000), lambda prompt: prompt, HIGH, LOW)
+    param = QueryParam(chunk_top_k=CHUNKS, max_total_tokens=2000)
+    s = stores(spark, d, "hybrid", param.with_defaults().chunk_top_k)
+
+    def echo(prompt: str) -> str:
+        return spark.range(1).select(providers.context_echo(F.lit(prompt.replace("Passages:", "Context:", 1)))).first()[0]
+
+    out = retrieval.answer(s, QUESTION, embed_question, param, echo, HIGH, LOW)
     return spark.createDataFrame([(out["content"], out["references"], out["packed"], out["mode"])], "content string, references array<string>, packed array<string>, mode string")
 
 

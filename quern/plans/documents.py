@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import bpe
 from quern.functions import text as T
-from quern.operators import chunking, docstatus, store
+from quern.operators import chunking, docstatus, graph, store
 from quern.plans import sqltext as S
-from quern.sources.tables import table
+from quern.sources import snapshots
+from quern.sources.tables import shared_dir, table
+
+#: Place of a public vocabulary.
+RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def chunks_now(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +165,48 @@ def fetch_with_gaps(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "pos", F.col("id").alias("chunk_id"), F.octet_length("content").alias("n_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (
+def chunk_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk in windows of 64 byte-pair tokens that share 16, put together again: windows, tokens and a checksum of the text."""
+    encode, decode = bpe.encoder(RANK_FILE), bpe.decoder(RANK_FILE)
+    rows = chunks_now(spark, d).filter("content is not null and content <> ''").select("chunk_id", "content")
+    windows = chunking.by_tokens(rows, "chunk_id", "content", 64, 16, encode, lambda part: part)
+    # All windows but the first repeat their first 16 tokens; a chunk has few of them.
+    own = F.when(F.col("chunk_order_index") == 0, F.col("content")).otherwise(F.expr("slice(content, 17, 64)"))
+    parts = windows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_order_index", own.alias("t")))).alias("p"), F.max("tokens").alias("most_tokens"))
+    return parts.select(F.col("id").alias("chunk_id"), (F.col("most_tokens") <= 64).alias("within"), F.md5(decode(F.flatten(F.transform("p", lambda x: x["t"])))).alias("content_md5"))
+
+
+def json_records(spark: SparkSession, d: str) -> DataFrame:
+    """Nations written as a JSON record file and read back."""
+    path = f"{shared_dir(spark)}/nations-{uuid.uuid4().hex}.json"
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"), F.array("n_name").alias("names"))
+    snapshots.export_records(rows, path, "id")
+    back = snapshots.load_records(spark, path, "id", rows.schema)
+    return back.select("id", "name", "region", F.size("names").alias("n_names"))
+
+
+def json_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nations and their regions written as a JSON graph file and read back: the edges, and the nodes at both ends."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}.json"
+    none = F.array().cast("array<string>").alias("source_ids")
+    regions = table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("k"))
+    nations = table(spark, d, "nation").join(F.broadcast(regions), F.col("n_regionkey") == F.col("k"))  # five regions
+    nodes = nations.select(F.col("n_name").alias("name"), F.lit("nation").alias("type"), F.lit("").alias("description"), none)
+    edges = graph.keyed(nations.select(F.col("n_name").alias("src_id"), F.col("name").alias("tgt_id"), F.lit("in").alias("keywords"), F.lit("").alias("description"), F.lit(1.0).alias("weight"), none))
+    snapshots.export_graph(nodes, edges, path)
+    back, lines = snapshots.load_graph(spark, path)
+    return lines.join(back.select(F.col("name").alias("a")), "a", "left_semi").join(back.select(F.col("name").alias("b")), "b", "left_semi").select("a", "b", "weight")
+
+
+def json_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """One vector a nation written as a JSON vector file and read back."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}.json"
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("id"), F.array(F.col("n_nationkey").cast("float"), F.lit(1).cast("float")).alias("vector"), F.create_map(F.lit("k"), F.col("n_name")).alias("metadata"))
+    snapshots.export_vectors(rows, path, "nations", 2)
+    return snapshots.load_vectors(spark, path).select("namespace", "dim", "id", F.get("vector", F.lit(0)).cast("double").alias("first"), F.col("metadata")["k"].alias("k"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_bpe, json_records, json_graph, json_vectors, 
     doc_id_dedup, doc_enqueue_fresh, doc_status_matrix, doc_status_list, doc_status_apply, doc_status_fold, chunk_tokens_1200_100, chunk_tokens_50_10, chunk_runes,
     chunk_paragraphs, chunk_paragraphs_whole, token_count, truncate_tokens, blank_texts, kv_get_by_ids, kv_filter_missing, kv_missing_repeated, kv_upsert, kv_delete,
     kv_count, fetch_ordered, fetch_with_gaps)}
@@ -179,6 +227,10 @@ def _token_windows(size: int, overlap: int) -> str:
 _DENSE = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INT) AS chunk_order_index"
 
 SQL = {
+    "chunk_bpe": f"SELECT chunk_id, true AS within, md5(content) AS content_md5 FROM {S.CHUNKS} WHERE content IS NOT NULL AND content <> ''",
+    "json_records": "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CAST(1 AS INT) AS n_names FROM nation",
+    "json_graph": "SELECT least(n_name, r_name) AS a, greatest(n_name, r_name) AS b, 1.0::DOUBLE AS weight FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_name <> r_name",
+    "json_vectors": "SELECT 'nations' AS namespace, CAST(2 AS INT) AS dim, n_name AS id, CAST(n_nationkey AS DOUBLE) AS first, n_name AS k FROM nation",
     "doc_id_dedup": _ENQUEUED,
     "doc_enqueue_fresh": f"SELECT content_id, content_length FROM ({_ENQUEUED}) WHERE content_id NOT IN (SELECT md5(content) FROM chunks WHERE content IS NOT NULL)",
     "doc_status_matrix": f"""SELECT a AS from_status, b AS to_status, ({_VALID}) AS is_valid

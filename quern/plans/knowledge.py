@@ -15,9 +15,6 @@ from quern.plans.documents import chunks_now
 from quern.sources.tables import table
 from quern.streaming.ingest import windowed_counts
 
-HUB = "Maravel Consortium"
-
-
 def _components(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.select(key, *[F.round(F.get(vector, F.lit(i)), 6).alias(f"v{i}") for i in range(dim)])
 
@@ -124,9 +121,9 @@ def graph_upsert_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    """Ends of edges that no mention declares."""
+    """Ends of edges that no mention as a person declares."""
     edges = graph.edge_set(table(spark, d, "relations"))
-    nodes = table(spark, d, "entities").select("name").filter("name <> ''").distinct().withColumn("declared", F.lit(True))
+    nodes = table(spark, d, "entities").filter("name <> '' and lower(type) = 'person'").select("name").distinct().withColumn("declared", F.lit(True))
     return graph.with_endpoints(nodes, edges).filter("declared is null").select("name")
 
 
@@ -143,7 +140,7 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 def _bfs(spark: SparkSession, d: str, depth: int) -> DataFrame:
     edges = graph.compact(graph.edge_set(table(spark, d, "relations")))
-    return graph.search(edges, HUB, depth, 60)
+    return graph.search(edges, graph.top_nodes(edges, 1).first()["name"], depth, 60)
 
 
 def graph_bfs_d1(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +158,7 @@ def graph_bfs_d2(spark: SparkSession, d: str) -> DataFrame:
 def graph_induced(spark: SparkSession, d: str) -> DataFrame:
     """Edges among the nodes within one step of the hub."""
     edges = graph.compact(graph.edge_set(table(spark, d, "relations")))
-    return graph.induced(edges, graph.search(edges, HUB, 1, 60))
+    return graph.induced(edges, graph.search(edges, graph.top_nodes(edges, 1).first()["name"], 1, 60))
 
 
 def graph_expand_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -307,12 +304,59 @@ def entity_union(spark: SparkSession, d: str) -> DataFrame:
 
 def llm_usage(spark: SparkSession, d: str) -> DataFrame:
     """Token totals per model, requests without a reply included."""
-    replies = store.latest(table(spark, d, "llm_responses"), "response_id", "finished_at")
+    replies = store.latest(table(spark, d, "llm_responses").select("response_id", "request_id", "input_tokens", "output_tokens", "finished_at"), "response_id", "finished_at")
     joined = table(spark, d, "llm_requests").select("request_id", "model").join(replies.select("request_id", "response_id", "input_tokens", "output_tokens"), "request_id", "left")
     return joined.groupBy("model").agg(F.countDistinct("request_id").alias("n_requests"), F.count("response_id").alias("n_responses"),
                                        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
+def vec_cosine_shorter(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of the first 20 components of each embedding with the next one, over the components both have."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 20).alias("e"))
+    nxt = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(V.cosine_shorter(F.col("e"), F.col("other")), 6).alias("score"))
+
+
+def vec_random_unit(spark: SparkSession, d: str) -> DataFrame:
+    """A random direction for every embedding's id: its size and length."""
+    e = table(spark, d, "embeddings").select("vec_id", V.random_unit(F.col("vec_id"), 16).alias("v"))
+    return e.select("vec_id", F.size("v").alias("dim"), F.round(V.norm(F.col("v")), 6).alias("length"))
+
+
+def extract_cache_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the chunks that a cache of the contents of processed documents has."""
+    split = extract_cache_split(spark, d)
+    out = extraction.cache_ratio(split.filter("state = 'hit'"), split.filter("state = 'miss'"))
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
+def keywords_ask(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords of the questions of all keyword requests, answered by the stored replies."""
+    replies = _replies(spark, d, "keywords").groupBy("request_id").agg(F.max("text").alias("text"))
+    asked = table(spark, d, "llm_requests").select("request_id", F.element_at("messages", -1)["content"].alias("question"))
+    out = prompting.ask_keywords(asked, lambda prompts: prompts.select("request_id").join(replies, "request_id"), "request_id", "question")
+    return out.select("request_id", F.array_join("high", "|").alias("high"), F.array_join("low", "|").alias("low"))
+
+
+def graph_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the search from the hub left out nodes within its depth."""
+    edges = graph.compact(graph.edge_set(table(spark, d, "relations")))
+    found = graph.search(edges, graph.top_nodes(edges, 1).first()["name"], 1, 60)
+    return spark.createDataFrame([(found.count(), graph.is_truncated(edges, found, 1))], "n_nodes long, truncated boolean")
+
+
+def render_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Source ids of every mention as one JSON list, and a preview of its description."""
+    rows = _mentions(spark, d).filter("source_ids is not null")
+    return rows.select("mention_id", jsontext.quote_list(F.col("source_ids")).alias("ids"), T.one_line(F.coalesce("description", F.lit("")), 20).alias("preview"))
+
+
+def content_of_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first content column that is not empty, for every chunk."""
+    rows = chunks_now(spark, d).select("chunk_id", F.lit("").alias("content"), F.col("content").alias("text"))
+    return rows.select("chunk_id", F.md5(prompting.text_content(rows)).alias("content_md5"))
+
+
 def summarize_fast(spark: SparkSession, d: str) -> DataFrame:
     """Names whose descriptions are joined as they are, and how long the result is."""
     rows = _mentions(spark, d).filter("name <> ''")
@@ -358,7 +402,7 @@ def vector_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    summarize_fast, description_lines, description_line_blocks, graph_upsert_nodes, events_hourly, vector_manifest, embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
+    vec_cosine_shorter, vec_random_unit, extract_cache_ratio, keywords_ask, graph_truncated, render_lists, content_of_rows, summarize_fast, description_lines, description_line_blocks, graph_upsert_nodes, events_hourly, vector_manifest, embed_tiled, embed_counter, embed_words, vec_norm, vec_usable, vec_cosine, vec_topk, vec_topk_threshold, vec_topk_batch, vec_dedup_hits, vec_upsert, vec_delete,
     graph_canonical_edges, graph_upsert_edges, graph_endpoints, graph_degree, graph_neighbors, graph_bfs_d1, graph_bfs_d2, graph_induced, graph_expand_hits, graph_top_nodes,
     extract_entities, extract_relations, extract_cache_key, extract_cache_split, extract_glean, merge_entities, merge_relations, merge_entity_sources, merge_relation_sources, summarize_windows, summarize_full,
     keywords_parse, keywords_fallback, render_entities, render_relations, pack_chunks, hybrid_chunk_union, entity_union, llm_usage)}
@@ -463,9 +507,21 @@ def _search(seed: str, depth: int) -> str:
       r AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 WHERE pos < 60)"""
 
 
+_TOP = "(SELECT name FROM deg ORDER BY degree DESC, name LIMIT 1)"
 _ROWS = " SELECT name, depth, CAST(pos AS INT) AS pos FROM r"
 
 SQL = {
+    "vec_cosine_shorter": "SELECT e.vec_id, round(list_cosine_similarity(e.embedding[1:20]::DOUBLE[], o.embedding[1:20]::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings o ON o.vec_id = e.vec_id + 1",
+    "vec_random_unit": "SELECT vec_id, CAST(16 AS INT) AS dim, 1.0::DOUBLE AS length FROM embeddings",
+    "extract_cache_ratio": f"""WITH c AS {S.CHUNKS}, s AS (SELECT content IN (SELECT content FROM c WHERE content IS NOT NULL AND doc_id IN (SELECT doc_id FROM {S.STATUS} WHERE status = 'processed')) AS hit FROM c WHERE content IS NOT NULL)
+      SELECT count(*) AS n, count(*) FILTER (hit) AS n_hits, round(count(*) FILTER (hit) / count(*), 6) AS ratio FROM s""",
+    "keywords_ask": f"""SELECT request_id, CASE WHEN h <> '' THEN h ELSE q END AS high, CASE WHEN l <> '' THEN l ELSE q END AS low FROM (
+      SELECT request_id, {_keyword_list('high_level_keywords')} AS h, {_keyword_list('low_level_keywords')} AS l, q FROM (
+        SELECT r.request_id, regexp_extract(coalesce(r.text, ''), '\\{{[^{{}}]*\\}}') AS o, x.messages[-1].content AS q
+        FROM (SELECT request_id, max(text) AS text FROM {_REPLIES} WHERE stage = 'keywords' GROUP BY 1) r JOIN llm_requests x USING (request_id)))""",
+    "graph_truncated": _search(_TOP, 1) + ", a AS (SELECT count(*) AS n FROM adj JOIN l0 ON v = l0.name) SELECT (SELECT count(*) FROM r) AS n_nodes, (SELECT n FROM a) + 1 > (SELECT count(*) FROM r) AS truncated",
+    "render_lists": f"""SELECT mention_id, CAST(to_json(source_ids) AS VARCHAR) AS ids, substr(regexp_replace(coalesce(description, ''), '[\\r\\n]+', ' ', 'g'), 1, 20) AS preview FROM {_MENTIONS} WHERE source_ids IS NOT NULL""",
+    "content_of_rows": f"SELECT chunk_id, md5(coalesce(content, '')) AS content_md5 FROM {S.CHUNKS}",
     "summarize_fast": f"""WITH m AS (SELECT * FROM {_MENTIONS} WHERE coalesce(name, '') <> ''),
       n AS (SELECT name, count(*) AS n, sum(len({S.fields('description')})) AS tok FROM m WHERE description <> '' GROUP BY 1)
       SELECT h.name, coalesce(n.n, 0) AS n_descriptions, CAST(coalesce(n.tok, 0) AS INT) AS n_tokens FROM (SELECT DISTINCT name FROM m) h LEFT JOIN n USING (name)
@@ -494,12 +550,12 @@ SQL = {
     "graph_canonical_edges": f"SELECT least(src_id, tgt_id) AS a, greatest(src_id, tgt_id) AS b, count(*) AS n_relations FROM {_RELATIONS} WHERE {_VALID_EDGE} GROUP BY 1, 2",
     "graph_upsert_edges": f"""SELECT src_id, tgt_id, rel_id FROM (SELECT *, row_number() OVER (PARTITION BY least(src_id, tgt_id), greatest(src_id, tgt_id) ORDER BY extracted_at DESC, rel_id DESC) AS rn
       FROM {_RELATIONS} WHERE {_VALID_EDGE}) WHERE rn = 1""",
-    "graph_endpoints": f"SELECT DISTINCT v AS name FROM {_ADJ} WHERE v NOT IN (SELECT name FROM entities WHERE name IS NOT NULL)",
+    "graph_endpoints": f"SELECT DISTINCT v AS name FROM {_ADJ} WHERE v NOT IN (SELECT name FROM entities WHERE name IS NOT NULL AND lower(type) = 'person')",
     "graph_degree": f"SELECT e.name, coalesce(d.degree, 0) AS degree FROM (SELECT DISTINCT name FROM entities WHERE name <> '') e LEFT JOIN {_DEG} d USING (name)",
     "graph_neighbors": f"SELECT v AS name, n AS neighbour FROM {_ADJ}",
-    "graph_bfs_d1": _search(f"'{HUB}'", 1) + _ROWS,
+    "graph_bfs_d1": _search(_TOP, 1) + _ROWS,
     "graph_bfs_d2": _search("(SELECT name FROM deg ORDER BY degree, name LIMIT 1)", 2) + _ROWS,
-    "graph_induced": _search(f"'{HUB}'", 1) + f" SELECT a, b FROM {_EDGES} WHERE a IN (SELECT name FROM r) AND b IN (SELECT name FROM r)",
+    "graph_induced": _search(_TOP, 1) + f" SELECT a, b FROM {_EDGES} WHERE a IN (SELECT name FROM r) AND b IN (SELECT name FROM r)",
     "graph_expand_hits": f"""WITH s AS (SELECT DISTINCT json_extract_string(metadata, '$.entity_id') AS v FROM {S.VECTORS} WHERE namespace = 'entities'), adj AS {_ADJ}, deg AS {_DEG}
       SELECT DISTINCT v AS seed, v AS name, 0 AS pos FROM adj JOIN s USING (v)
       UNION ALL SELECT seed, name, CAST(pos AS INT) FROM (SELECT adj.v AS seed, n AS name, row_number() OVER (PARTITION BY adj.v ORDER BY degree DESC, n) AS pos

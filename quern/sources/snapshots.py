@@ -1,15 +1,20 @@
 """Tables as versioned snapshots with an atomic pointer, and JSON exchange files.
 
-A commit writes ``v=<n>/`` beside the earlier versions and then replaces the
-one-line pointer file.  A reader sees the old or the new version whole; what a
-failed writer leaves is never pointed to.  Paths go through the Hadoop file
-system, so a shared store works as well as a local folder.
+A version is a list of folders of Parquet files.  ``commit`` writes a whole new
+folder, ``append`` adds one to those of the current version, so that a small batch
+costs what it holds and not what the table holds.  The one-line pointer file is
+replaced last: a reader sees the old or the new version whole; what a failed writer
+leaves is never pointed to.  Writers claim the next number by creating a file that
+may not exist yet; one whose base is no longer current raises.  Paths go through the
+Hadoop file system, so a shared store works as well as a local folder.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,55 +23,119 @@ from pyspark.sql.types import StructType
 POINTER = "_CURRENT"
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has committed, or is about to."""
+
+
 class Snapshots:
     """One table under a root folder, per namespace."""
 
-    def __init__(self, spark: SparkSession, root: str, namespace: str):
+    def __init__(self, spark: SparkSession, root: str, namespace: str, lease: float = 600.0):
         if not namespace:
             raise ValueError("the namespace is empty")
-        self.spark, self.path = spark, f"{root.rstrip('/')}/namespace={namespace}"
+        self.spark, self.path, self.lease = spark, f"{root.rstrip('/')}/namespace={namespace}", lease
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.path).getFileSystem(self._conf)
 
-    def version(self) -> int | None:
-        """The current version, or None before the first commit."""
+    def _pointer(self) -> dict:
         at = self._path(f"{self.path}/{POINTER}")
         if not self._fs.exists(at):
-            return None
+            return {"version": None, "parts": [], "before": []}
         stream = self._fs.open(at)
         try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def version(self) -> int | None:
+        """The current version, or None before the first commit."""
+        return self._pointer()["version"]
+
+    def parts(self) -> list[str]:
+        """The folders of the current version."""
+        return self._pointer()["parts"]
+
     def read(self, schema: StructType | str) -> DataFrame:
         """The current rows; an empty table of the schema before the first commit."""
-        n = self.version()
-        if n is None:
+        parts = self.parts()
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/v={n}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
 
-    def commit(self, df: DataFrame) -> int:
-        """Writes a new version and points to it.  ``df`` may read the current one."""
-        n = (self.version() or 0) + 1
-        while self._fs.exists(self._path(f"{self.path}/v={n}")):  # left by a writer that failed
-            n += 1
-        df.write.parquet(f"{self.path}/v={n}")
-        temporary = self._path(f"{self.path}/_{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(temporary, True)
+    def _claim(self, n: int):
+        """Creates the file that says that version ``n`` is being pointed to; one older than the lease is of a failed writer."""
+        at = self._path(f"{self.path}/_claim-{n}")
+        if self._fs.exists(at) and time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000 > self.lease:
+            self._fs.delete(at, False)
+        try:
+            self._fs.create(at, False).close()
+        except Exception as e:
+            raise CommitConflict(f"{self.path}: version {n} is being written") from e
+        return at
+
+    def _point(self, base: dict, n: int, parts: list[str]) -> int:
+        claim = self._claim((base["version"] or 0) + 1)
         try:
-            out.write(bytearray(str(n).encode()))
+            if self.version() != base["version"]:
+                raise CommitConflict(f"{self.path}: version {base['version']} is no longer current")
+            temporary = self._path(f"{self.path}/_{uuid.uuid4().hex}.tmp")
+            out = self._fs.create(temporary, True)
+            try:
+                out.write(bytearray(json.dumps({"version": n, "parts": parts, "before": base["parts"]}).encode()))
+            finally:
+                out.close()
+            fs = self.spark._jvm.org.apache.hadoop.fs
+            kind = getattr(fs, "Options$Rename")
+            how = self.spark._sc._gateway.new_array(kind, 1)
+            how[0] = kind.OVERWRITE
+            fs.FileContext.getFileContext(temporary.toUri(), self._conf).rename(temporary, self._path(f"{self.path}/{POINTER}"), how)
         finally:
-            out.close()
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        kind = getattr(fs, "Options$Rename")
-        how = self.spark._sc._gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        fs.FileContext.getFileContext(temporary.toUri(), self._conf).rename(temporary, self._path(f"{self.path}/{POINTER}"), how)
+            self._fs.delete(claim, False)
         return n
 
+    def _write(self, df: DataFrame, base: dict, tag: str) -> tuple[int, str]:
+        n = (base["version"] or 0) + 1
+        while self._fs.exists(self._path(f"{self.path}/v={n}{tag}")):  # left by a writer that failed
+            n += 1
+        df.write.parquet(f"{self.path}/v={n}{tag}")
+        return n, f"v={n}{tag}"
+
+    def commit(self, df: DataFrame) -> int:
+        """Writes a new version and points to it.  ``df`` may read the current one."""
+        base = self._pointer()
+        n, part = self._write(df, base, "")
+        return self._point(base, n, [part])
+
+    def append(self, df: DataFrame, tag: str) -> int:
+        """Adds the rows of ``df`` to the current version as one folder.
+
+        Rows that were appended under the same ``tag`` are replaced, so a batch that
+        runs again is not doubled.
+        """
+        if not tag.isidentifier():
+            raise ValueError("the tag must be an identifier")
+        base = self._pointer()
+        n, part = self._write(df, base, f"-{tag}")
+        return self._point(base, n, [p for p in base["parts"] if p.split("-", 1)[1:] != [tag]] + [part])
+
+    def compact(self, schema: StructType | str, most: int = 16) -> None:
+        """Rewrites a version of more than ``most`` folders as one, and removes folders that neither it nor the version before uses."""
+        if len(self.parts()) > most:
+            self.commit(self.read(schema))
+            self.expire()
+
+    def expire(self) -> list[str]:
+        """Removes the folders that neither the current version nor the one before uses."""
+        now = self._pointer()
+        kept = {*now["parts"], *now["before"]}
+        gone = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory()]
+        gone = [g for g in gone if g.startswith("v=") and g not in kept]
+        for g in gone:
+            self._fs.delete(self._path(f"{self.path}/{g}"), True)
+        return gone
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines, trimmed: ``text``."""
@@ -140,17 +209,34 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return graph.with_endpoints(nodes, edges), edges
 
 
-def _stream(df: DataFrame, path: str, head: str, tail: str) -> None:
-    """Writes one JSON text, row by row, to a local path that appears whole."""
-    import os
+def _save(spark: SparkSession, path: str, texts: Iterable[str]) -> None:
+    """Writes one text, piece by piece, to a file that appears whole."""
+    at, temporary = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.tmp"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(temporary, True)
+    held: list[str] = []
+    try:
+        for text in texts:
+            held.append(text)
+            if len(held) == 1000:
+                out.write(bytearray("".join(held).encode()))
+                held = []
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
+    fs.delete(at, False)
+    fs.rename(temporary, at)
+
 
-    temporary = f"{path}.tmp"
-    with open(temporary, "w", encoding="utf-8") as f:
-        f.write(head)
+def _stream(df: DataFrame, path: str, head: str, tail: str) -> None:
+    """Writes one JSON text, row by row; the rows pass through the driver one partition at a time."""
+    def texts():
+        yield head
         for i, r in enumerate(df.toLocalIterator(prefetchPartitions=True)):
-            f.write((",\n" if i else "\n") + r[0])
-        f.write(tail)
-    os.replace(temporary, path)
+            yield (",\n" if i else "\n") + r[0]
+        yield tail
+
+    _save(df.sparkSession, path, texts())
 
 
 def export_records(df: DataFrame, path: str, key: str) -> None:
@@ -169,21 +255,19 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes by name, edges by their canonical ends, so equal graphs give equal files."""
     n = nodes.orderBy("name").select(F.lit(0).alias("s"), "name", F.lit("").alias("x"), F.to_json(F.struct("name", "type", "description", "source_ids")).alias("j"))
     e = edges.select(F.lit(1).alias("s"), F.col("a").alias("name"), F.col("b").alias("x"), F.to_json(F.struct("src_id", "tgt_id", "keywords", "description", "weight", "source_ids")).alias("j"))
-    import os
 
-    temporary = f"{path}.tmp"
-    with open(temporary, "w", encoding="utf-8") as f:
-        f.write('{"version": 1, "nodes": [')
-        last = 0
-        first = True
+    def texts():
+        yield '{"version": 1, "nodes": ['
+        last, first = 0, True
         for r in n.unionByName(e).orderBy("s", "name", "x").select("s", "j").toLocalIterator():
             if r["s"] != last:
-                f.write('\n], "edges": [')
+                yield '\n], "edges": ['
                 last, first = 1, True
-            f.write(("\n" if first else ",\n") + r["j"])
+            yield ("\n" if first else ",\n") + r["j"]
             first = False
-        f.write('\n], "edges": [\n]}\n' if last == 0 else "\n]}\n")
-    os.replace(temporary, path)
+        yield '\n], "edges": [\n]}\n' if last == 0 else "\n]}\n"
+
+    _save(nodes.sparkSession, path, texts())
 
 
 def manifest(df: DataFrame, text: str, vector: str, components: int = 6) -> DataFrame:

@@ -379,3 +379,104 @@ def test_summaries_by_an_endpoint(spark):
     out = {r["name"]: r["description"] for r in merging.summarise(m, "name", "t", ["i"], merging.by_provider(e)).collect()}
     server.shutdown()
     assert out["Y"] == "alone" and out["X"].startswith("1:Below are descriptions of one entity, named X") and '{"Description":"word7"}' in out["X"]
+
+
+def test_appends_conflicts_and_expiry(spark, tmp_path):
+    schema = "id string, v int"
+    s, other = (snapshots.Snapshots(spark, f"file://{tmp_path}/deltas", "t") for _ in range(2))
+    one = lambda i, v: spark.createDataFrame([(i, v)], schema)
+    s.append(one("a", 1), "batch_0")
+    s.append(one("b", 2), "batch_1")
+    s.append(one("b", 3), "batch_1")  # the batch ran again
+    assert rows(s.read(schema), "id") == [("a", 1), ("b", 3)] and len(s.parts()) == 2
+    # A writer whose base is no longer current raises, and one that finds a claim does.
+    base = other._pointer()
+    s.append(one("c", 4), "batch_2")
+    n, part = other._write(one("x", 9), base, "-late")
+    with pytest.raises(snapshots.CommitConflict):
+        other._point(base, n, [*base["parts"], part])
+    claim = s._claim(s.version() + 1)
+    with pytest.raises(snapshots.CommitConflict):
+        other.append(one("x", 9), "batch_3")
+    s._fs.delete(claim, False)
+    s.compact(schema, most=2)
+    assert len(s.parts()) == 1 and rows(s.read(schema), "id") == [("a", 1), ("b", 3), ("c", 4)]
+    assert set(s.expire()) == set() and s.read(schema).count() == 3
+    with pytest.raises(ValueError):
+        s.append(one("x", 9), "not a tag")
+
+
+def test_streamed_batches_write_their_own_rows_only(spark, tmp_path):
+    root = f"file://{tmp_path}/out"
+    batch = lambda *texts: spark.createDataFrame([(t, t[:3]) for t in texts], "text string, file_path string")
+    run = lambda b, i: ingest.ingest_batch(b, i, root, size=2, overlap=1, dim=8, most_parts=3)
+    assert run(batch("one two three", "four five"), 0) == 2 and run(batch("one two three", "six"), 1) == 1
+    chunks = snapshots.Snapshots(spark, root, "chunks")
+    assert len(chunks.parts()) == 2 and chunks.read(ingest.CHUNKS).count() == 4
+    # A batch that ran up to its chunks and runs again is not doubled.
+    chunks.append(chunks.read(ingest.CHUNKS).limit(1), "batch_2")
+    assert run(batch("seven eight"), 2) == 1 and chunks.read(ingest.CHUNKS).count() == 5
+    run(batch("nine"), 3)
+    assert len(chunks.parts()) == 1 and chunks.read(ingest.CHUNKS).count() == 6
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    src, stamp = f"{tmp_path}/events", lambda s: f"timestamp'2026-01-01 {s}'"
+    def add(*times):
+        spark.sql("select * from values " + ", ".join(f"({stamp(t)}, 'a')" for t in times) + " as t(ts, event_type)").coalesce(1).write.mode("append").parquet(src)
+    add("10:05:00", "10:50:00")
+    def run():
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(src)
+        q = ingest.windowed_counts(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/ecp").option("path", f"{tmp_path}/eout").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    run()
+    add("13:00:00")
+    run()
+    add("10:10:00", "15:00:00")  # the first is late: its window is closed
+    run()
+    got = rows(spark.read.parquet(f"{tmp_path}/eout").select(F.hour("window.start"), "n"), "n")
+    assert (10, 2) in got and all(n != 3 for _, n in got)
+
+
+def test_random_directions_and_flags(spark):
+    v = spark.range(200).select(V.random_unit(F.col("id"), 8).alias("v")).collect()
+    assert all(abs(sum(x * x for x in r["v"]) - 1) < 1e-9 for r in v) and abs(sum(r["v"][0] for r in v) / 200) < 0.1 and len({tuple(r["v"]) for r in v}) == 200
+    e = spark.createDataFrame([("h", f"n{i}") for i in range(5)], "a string, b string")
+    assert graph.is_truncated(e, graph.search(e, "h", 1, 3), 1) and not graph.is_truncated(e, graph.search(e, "h", 1, 9), 1)
+    with pytest.raises(graph.InvalidNode):
+        graph.check_nodes(spark.createDataFrame([("a",), ("",)], "name string"))
+    empty = spark.createDataFrame([], "x int")
+    assert extraction.cache_ratio(empty, empty).first()["ratio"] == 0.0
+
+
+def test_chunks_of_byte_pairs(spark):
+    from quern.functions import bpe
+    from quern.plans.documents import RANK_FILE
+
+    texts = ["Hello, wörld 中文! " * 40, "", None, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = chunking.by_tokens(df, "i", "t", 20, 5, bpe.encoder(RANK_FILE), bpe.decoder(RANK_FILE)).collect()
+    assert {r["id"] for r in out} == {0, 3} and max(r["tokens"] for r in out) == 20
+    encoding = bpe.load(RANK_FILE)
+    ids = encoding.encode_ordinary(texts[0])
+    first = min((r for r in out if r["id"] == 0), key=lambda r: r["chunk_order_index"])
+    assert first["content"] == encoding.decode(ids[:20])
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quern.sources import tables
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Session())
+    df = tables.materialise(spark.range(3), "t")
+    assert df.count() == 3
+    tables.release(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(df._written).count()
