@@ -60,9 +60,13 @@ def estimate(queries: np.ndarray, bits: np.ndarray, scalars: np.ndarray) -> tupl
     return (queries @ signs.T) / (a * np.sqrt(dim, dtype=np.float32)), np.sqrt(np.maximum(1 - a * a, 0) / (a * a) / max(dim - 1, 1))
 
 
-def _unit(column, dim: int) -> np.ndarray:
+def _raw(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
+
+
+def _unit(column, dim: int) -> np.ndarray:
+    x = _raw(column, dim).astype(np.float64)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -118,15 +122,15 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
                 near[at[:, None], np.arange(order.shape[1])] = order
             bits, scalars = encode(unit, turn)
             yield pa.RecordBatch.from_arrays([
-                batch.column("namespace"), batch.column("h"), batch.column("asked"), pa.array([x.tobytes() for x in unit], pa.binary()),
+                batch.column("namespace"), batch.column("h"), batch.column("asked"), pa.array([x.tobytes() for x in _raw(batch.column("vector"), dim)], pa.binary()),
                 pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(scalars.astype(np.float32)),
-                pa.array([x[x >= 0].tolist() for x in near], pa.list_(pa.int32()))], names=["namespace", "h", "asked", "unit", "code", "scalar", "near"])
+                pa.array([x[x >= 0].tolist() for x in near], pa.list_(pa.int32()))], names=["namespace", "h", "asked", "raw", "code", "scalar", "near"])
 
     turn = rotation(dim)
-    placed = materialise(classes.mapInArrow(assign, "namespace string, h long, asked boolean, unit binary, code binary, scalar float, near array<int>"), "knn-lists")
-    index = placed.select("namespace", F.col("near")[0].alias("list"), "h", "unit", "code", "scalar", F.lit(False).alias("is_query"))
+    placed = materialise(classes.mapInArrow(assign, "namespace string, h long, asked boolean, raw binary, code binary, scalar float, near array<int>"), "knn-lists")
+    index = placed.select("namespace", F.col("near")[0].alias("list"), "h", "raw", "code", "scalar", F.lit(False).alias("is_query"))
     none = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scalar")]
-    query = placed.filter("asked").select("namespace", F.explode("near").alias("list"), "h", "unit", *none, F.lit(True).alias("is_query"))
+    query = placed.filter("asked").select("namespace", F.explode("near").alias("list"), "h", "raw", *none, F.lit(True).alias("is_query"))
     both = index.unionByName(query)
     # Blocks of a list: one small row per list, at most MAX_LISTS a namespace.
     loads = (both.groupBy("namespace", "list").agg(F.count_if(~F.col("is_query")).alias("ni"), F.count_if("is_query").alias("nq"))
@@ -135,12 +139,15 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("bi")).otherwise(F.col("bq")) - 1))
     spread = (both.join(F.broadcast(loads), ["namespace", "list"]).withColumn("mine", part).withColumn("other", other)
               .select("namespace", "list", F.when(F.col("is_query"), F.col("mine")).otherwise(F.col("other")).alias("qb"),
-                      F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("ib"), "h", "unit", "code", "scalar", "is_query"))
+                      F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("ib"), "h", "raw", "code", "scalar", "is_query"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(-1, dim)
+        raw = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(-1, dim).astype(np.float64)
+        size = np.linalg.norm(raw, axis=1)
+        unit = (raw / size[:, None]).astype(np.float32)
         asks, h = pdf["is_query"].to_numpy(bool), pdf["h"].to_numpy()
         x, hx, q, hq = unit[~asks], h[~asks], unit[asks], h[asks]
+        rx, rq, nx, nq = raw[~asks], raw[asks], size[~asks], size[asks]
         found = []
         if len(x) and len(q):
             own = pdf[~asks]
@@ -151,7 +158,8 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -
                 low = est - BOUND * dev
                 kth = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if len(x) > k + 1 else np.full(len(part_q), -np.inf)
                 r, c = np.nonzero(est + BOUND * dev >= np.maximum(kth, min_similarity)[:, None])
-                exact = np.einsum("ij,ij->i", part_q[r].astype(np.float64), x[c].astype(np.float64))
+                # The exact cosine is taken in double precision of the vectors as stored.
+                exact = np.einsum("ij,ij->i", rq[start + r], rx[c]) / (nq[start + r] * nx[c])
                 good = (exact >= min_similarity - 1e-9) & (hq[start + r] != hx[c])
                 found.append(pd.DataFrame({"h": hq[start + r[good]], "g": hx[c[good]], "similarity": exact[good]}))
         if not found:

@@ -32,8 +32,22 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("chunk_id"), "doc_id", "piece_no", "chunk_order_index", "n_tokens", "content")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces)}
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk put together from its pieces without what they repeat: a checksum of its tokens, and whether the pieces keep the limit."""
+    pieces = p4_pieces(spark, d)
+    words = F.filter(F.split("content", f"[{splitting.SPACE}]+"), lambda x: x != "")
+    own = F.when(F.col("piece_no") == 0, words).otherwise(F.slice(words, splitting.OVERLAP + 1, splitting.MAX_TOKENS))
+    # A text has as many pieces as it has lengths of the limit, so a row of them is as large as the text.
+    parts = pieces.withColumn("own", own).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("p"), F.max("n_tokens").alias("most"))
+    return parts.select("chunk_id", (F.col("most") <= splitting.MAX_TOKENS).alias("within"), F.md5(F.array_join(F.flatten(F.transform("p", lambda x: F.coalesce(x["own"], F.array().cast("array<string>")))), " ")).alias("tokens_md5"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p4_rebuilt)}
+_FIELDS = r"regexp_extract_all(content, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')"
 SQL = {
+    "p4_rebuilt": f"""
+        SELECT chunk_id, true AS within, md5(array_to_string(coalesce({_FIELDS}, []), ' ')) AS tokens_md5
+        FROM (SELECT chunk_id, arg_min(content, coalesce(created_at, TIMESTAMP '1900-01-01')) AS content FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1)""",
     "p4_found": r"""
         SELECT DISTINCT chunk_id FROM chunks
         WHERE len(regexp_extract_all(content, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 240""",

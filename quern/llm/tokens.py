@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import base64
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.bpe import SPLIT_PATTERN, load
+
 #: Place of the rank file; a parameter of every operator that counts tokens.
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pattern that splits text before the merges of this vocabulary.
-SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def load(rank_file: str = RANK_FILE, pattern: str = SPLIT_PATTERN):
-    import tiktoken
-
-    with open(rank_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("sizes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_sizes(df: DataFrame, keys: list[str], text_col: str = "text", rank_file: str = RANK_FILE, pattern: str = SPLIT_PATTERN) -> DataFrame:
