@@ -83,7 +83,9 @@ def merge_entities(mentions: DataFrame, seq: list[str], name: str = "name", type
     sources counted, the descriptions joined or, where they are many, summarised by
     ``reduce``.  Empty names are dropped.
     """
-    named = mentions.filter(F.coalesce(F.col(name), F.lit("")) != "")
+    named = mentions.filter(F.coalesce(F.col(name), F.lit("")) != "").select(*dict.fromkeys([name, type_col, text, sources, *seq]))
+    # Read several times below, and often the result of an aggregation itself.
+    named = materialise(named, "merging-mentions")
     # The struct keeps a first type that is null.
     heads = named.groupBy(name).agg(F.min_by(F.struct(F.col(type_col).alias("type")), F.struct(*seq)).alias("h"), F.count(F.lit(1)).alias("n_mentions"))
     pairs = named.select(name, F.explode(sources).alias("s")).filter("s <> ''").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n_sources"))
@@ -121,7 +123,8 @@ def merge_relations(relations: DataFrame, seq: list[str], reduce: Reduce = provi
     from quern.operators.graph import keyed
 
     key = "_pair"
-    edges = keyed(relations).withColumn(key, _pair())
+    edges = keyed(relations).select(_pair(), *dict.fromkeys(["weight", "keywords", "source_ids", "description", *seq]))
+    edges = materialise(edges, "merging-relations")
     # In thousandths, so the sum does not depend on the order of addition.
     heads = edges.groupBy(key).agg((F.sum(F.round(F.col("weight") * 1000).cast("long")) / 1000).alias("weight"), F.count(F.lit(1)).alias("n_relations"))
     words = (edges.filter("keywords <> ''").groupBy(key, "keywords").agg(F.min(F.struct(*seq)).alias("s"))
@@ -206,7 +209,7 @@ def summarise(df: DataFrame, key: str, text: str, seq: list[str], reduce: Reduce
     rounds every block of what is left is reduced, then the blocks of those
     summaries, until a key has one text.
     """
-    todo = _texts(df, key, text, seq)
+    todo = materialise(_texts(df, key, text, seq), "summaries-texts")
     used, done = F.lit(False), None
     for level in range(depth + 1):
         sized = materialise(_sized(todo, key, budget, count), "summaries-sized")

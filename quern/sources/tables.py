@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: When the driver last collected its garbage for :func:`materialise`.
+_collected = 0.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data directory; only the columns used are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,7 +60,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     fs, p = _path(spark, own)
     fs.deleteOnExit(p)
     # The shuffle files behind ``df`` are of no more use; Spark removes them when the driver collects its garbage.
-    spark.sparkContext._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > 1:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
