@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,8 +157,21 @@ def token_similarity(a: str, b: str, kinds: str, common: frozenset | set = froze
     return _token_similarity(a, b, kinds, a in common, b in common)
 
 
-@lru_cache(1 << 18)
+#: Similarities of tokens met before. A dictionary goes to the workers by value, a cached function would go by name.
+_MET: dict[tuple, float] = {}
+
+
 def _token_similarity(a: str, b: str, kinds: str, common_a: bool, common_b: bool) -> float:
+    key = (a, b, kinds, common_a, common_b)
+    found = _MET.get(key)
+    if found is None:
+        if len(_MET) >= 1 << 18:
+            _MET.clear()
+        found = _MET[key] = _compared(a, b, kinds, common_a, common_b)
+    return found
+
+
+def _compared(a: str, b: str, kinds: str, common_a: bool, common_b: bool) -> float:
     if a == b:
         return 1.0
     if a.isdigit() or b.isdigit():

@@ -455,3 +455,18 @@ def test_context_decides_statements_of_unknown_words(spark):
     def share(use):
         return {r["subject"]: r["share"] for r in subjects.subject_votes(df, labels, ["law", "sport"], use=use).filter("doc_id = 500").collect()}
     assert share(subjects.VOTES)["law"] > share(("lexicon",))["law"]
+
+
+def test_worker_functions_need_no_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    functions = [names._links, names._keys_of_names, names._slips, names._token_keys, subjects._parse, subjects._count_patterns(3), neardup._features(5, 5, 4, 4), neardup._chain_blocks(4, 4, 8),
+                 neardup._hamming(3, 0.5)]
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(functions))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import pickle, sys\nfor f in pickle.load(open('f.pkl', 'rb')): list(f(iter([])))\nassert 'quern' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
