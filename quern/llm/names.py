@@ -2,12 +2,11 @@
 
 1. Each distinct name becomes a list of plain tokens: accents, case, quotes,
    titles and letters typed as digits are levelled, abbreviations written out.
-2. Distinct tokens that are no generic words get keys that make candidate pairs.
-   Up to ``SHORT`` letters these are the token without each letter, which finds
-   every single error.  From there on they are bands of ``ROWS`` min-wise hashes of
-   padded q-grams.  The number
-   of bands is tuned from the collision curve ``1 - (1 - J^r)^b`` (see
-   :func:`bands_for`).  Pairs within one edit (two in long tokens) are kept.
+2. Distinct tokens get keys that make candidate pairs: what is left of the token
+   without a letter, in tokens that may hold two errors without two, so that every
+   pair within one edit (two in long tokens) shares one, and hardly any other does.
+   Tokens of more than ``LONG`` letters have pieces instead, which find all as well.
+   Only hashes of keys are moved, packed by bucket, and pairs are made in arrays.
 3. Names with two pairs of tokens that can be partners (:func:`_name_keys`) are
    compared by a
    Monge-Elkan similarity over their tokens, where equal words, nicknames,
@@ -18,7 +17,9 @@
 
 Skew: all work is on distinct names and tokens, counted with partial aggregation.
 No token makes candidates by itself, however common or rare: it takes a second one that
-fits too, so what is compared are mostly variants; keys are compared in blocks.  Given
+fits too, so what is compared are mostly variants; keys are compared in blocks.  The
+rarest telling token leads, a mistyped one counting as the word it may be, so that no
+word that many names hold leads where a rarer one does.  Given
 names lead in names without any other telling token only, generic words never.  Equal
 token sets are linked as a star around their smallest
 member.  Two words that many names hold (:func:`common_from`) are never taken as one
@@ -39,9 +40,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import wordhash
-from quern.sources.tables import materialise
+from quern.sources.tables import materialise, release, spread
 
-Q, ROWS, THRESHOLD = 3, 3, 0.85
+ROWS, THRESHOLD = 3, 0.85
 #: A word is common if it is in more than this number of names, and more than this share of them.
 COMMON, COMMON_SHARE = 250, 1 / 300
 #: In :func:`variant_pairs` clusters up to this number of spellings are given as all their pairs.
@@ -83,10 +84,10 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-#: One error in a token of ten letters leaves 8 of 16 padded 3-grams in common.
-BANDS = bands_for(0.5, 0.995)
-#: Letters up to which tokens have exact keys: a slip with a token of less than nine letters is one error, so the other has nine at most.
-SHORT = 9
+#: Letters from which a token may hold two errors, and letters up to which all that deletions leave are keys.
+TWO, LONG = 9, 24
+#: Keys of one bucket, which are compared in memory, and pairs made at once.
+_BUCKET, _AT_ONCE = 500_000, 1_000_000
 
 
 def tokens_of(name: str) -> list[str]:
@@ -133,7 +134,7 @@ def edits(a: str, b: str, most: int = 2) -> int:
 def slip(a: str, b: str) -> bool:
     """Whether two tokens can be one token typed with an error."""
     short = min(len(a), len(b))
-    return short >= 4 and edits(a, b, 1) <= 1 or short >= 9 and edits(a, b, 2) <= 2
+    return short >= 4 and edits(a, b, 1) <= 1 or short >= TWO and edits(a, b, 2) <= 2
 
 
 def _formals(names: dict) -> dict[str, set[str]]:
@@ -237,49 +238,138 @@ def similarity(a: list[str], b: list[str], kinds: str = "??", common: frozenset
     return min(scores)
 
 
-def _grams(token: str) -> list[str]:
-    padded = "\x02" * (Q - 1) + token + "\x03" * (Q - 1)
-    return [padded[i : i + Q] for i in range(len(padded) - Q + 1)]
+def _left(codes: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of what is left of tokens of one length, a row each, without up to ``most`` letters (1 or 2).
 
-
-def _deletions(token: str) -> set[str]:
-    """The token and what is left of it without one letter: tokens within one error share one of these."""
-    return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))}
+    Tokens within so many errors, transpositions included, have one of these in common.
+    """
+    size = codes.shape[1]
+    base = np.uint64(0x9E3779B97F4A7C15)
+    # Of letters behind a deleted one the power falls by one: a product with the inverse.
+    back = np.uint64(pow(int(base), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base)])
+        sums = np.zeros((len(codes), size + 1), np.uint64)
+        np.cumsum(wordhash.mix64(codes.astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=sums[:, 1:])
+        whole = sums[:, -1:]
+        one = sums[:, :-1] + (whole - sums[:, 1:]) * back
+        out = [whole, one]
+        if most > 1:
+            i, j = np.triu_indices(size, 1)
+            out.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (whole - sums[:, j + 1]) * back * back)
+        return wordhash.mix64(np.concatenate(out, axis=1))
+
+
+def _pieces(token: str) -> set[str]:
+    """Fifths of a long token, where they can be in a token with two errors more or less.
+
+    Two errors touch four fifths at most, as a transposition may touch two, and move the rest by two letters at most.
+    """
+    out = set()
+    for n in range(len(token) - 2, len(token) + 3):
+        for i in range(5):
+            start, end = n * i // 5, n * (i + 1) // 5
+            out |= {f"{n} {i} {token[start + d : end + d]}" for d in range(-2, 3) if start + d >= 0 and end + d <= len(token)}
+    return out
 
 
 def _token_keys(batches):
-    """Keys of tokens: deletions up to ``SHORT`` letters, bands from ``SHORT`` letters on."""
+    """Keys of tokens: what deletions leave, or pieces; tokens of up to two letters more than ``LONG`` meet all others of up to ``LONG``."""
     import zlib
 
-    odd = (np.random.default_rng(6).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     for batch in batches:
         tokens = batch.column("token").to_pylist()
         if not tokens:
             continue
-        keys = []
-        with np.errstate(over="ignore"):
-            for t in tokens:
-                own = []
-                if len(t) <= SHORT:
-                    left = [x.encode("utf-8", "surrogatepass") for x in sorted(_deletions(t))]
-                    # Two checksums make one number, which differs from those of bands.
-                    own.append(wordhash.mix64(np.array([zlib.crc32(x) << 32 | zlib.adler32(x) for x in left], np.uint64)))
-                if len(t) >= SHORT:
-                    h = wordhash.mix64(np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in _grams(t)], np.uint64))
-                    low = ((h[:, None] * odd[None, :]) >> np.uint64(16)).min(axis=0).reshape(BANDS, ROWS)
-                    k = np.arange(1, BANDS + 1, dtype=np.uint64)
-                    for r in range(ROWS):
-                        k = wordhash.mix64(k * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-                    own.append(k)
-                keys.append(np.unique(np.concatenate(own)))
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))], names=["cid", "keys"])
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        keys, owner = [], []
+        for n in np.unique(size[size <= LONG + 2]):
+            own = np.flatnonzero(size == n)
+            codes = np.frombuffer("".join(tokens[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
+            left = _left(codes, 2 if n >= TWO else 1)
+            keys.append(left.ravel())
+            owner.append(np.repeat(own, left.shape[1]))
+        for i in np.flatnonzero(size > LONG):
+            left = [x.encode("utf-8", "surrogatepass") for x in sorted(_pieces(tokens[i]))]
+            # Two checksums make one number.
+            keys.append(wordhash.mix64(np.array([zlib.crc32(x) << 32 | zlib.adler32(x) for x in left], np.uint64)))
+            owner.append(np.full(len(left), i))
+        keys, owner = np.concatenate(keys), np.concatenate(owner)
+        ends = np.cumsum(np.r_[0, np.bincount(owner, minlength=len(tokens))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(owner, kind="stable")].view(np.int64)))], names=["cid", "keys"])
+
+
+def _in_buckets(buckets: int):
+    """The keys packed by bucket: six bytes each, as numbers that are close together share what is above their lowest 16 bits."""
+
+    def run(batches):
+        for batch in _token_keys(batches):
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            cid = np.repeat(batch.column("cid").to_numpy(), lists.value_lengths().to_numpy())
+            high, bucket = cid >> 16, ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((bucket, high))
+            high, bucket = high[order], bucket[order]
+            starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (bucket[1:] != bucket[:-1])])
+            ends = np.r_[starts, len(order)]
+            packed = [pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[order]))])
+                      for x in (keys.astype(np.uint32), (cid & 0xFFFF).astype(np.uint16))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(high[starts]), *packed], names=["bucket", "high", "keys", "low"])
+
+    return run
+
+
+def _met(keys: np.ndarray, cid: np.ndarray):
+    """Pairs ``a < b`` of numbers with one key, in arrays of bounded size."""
+    order = np.lexsort((cid, keys))
+    keys, cid = keys[order], cid[order]
+    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (cid[1:] != cid[:-1])]
+    keys, cid = keys[fresh], cid[fresh]
+    at, step, out, held = np.arange(len(keys)), 0, [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(keys)]
+        at = at[keys[at + step] == keys[at]]
+        out.append((cid[at], cid[at + step]))
+        held += len(at)
+        if held and (held >= _AT_ONCE or not len(at)):
+            yield tuple(np.concatenate(x) for x in zip(*out))
+            out, held = [], 0
+
+
+def _met_in_buckets(batches):
+    """Pairs of numbers with a key in common; the rows of a bucket come one after the other."""
+
+    def pairs(rows: list[tuple]):
+        cid = [np.frombuffer(low, np.uint16).astype(np.int64) + (high << 16) for high, _, low in rows]
+        for a, b in _met(np.frombuffer(b"".join(k for _, k, _ in rows), np.uint32), np.concatenate(cid)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    now, rows = None, []
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "high", "keys", "low"))):
+            if bucket != now and rows:
+                yield from pairs(rows)
+                rows = []
+            now = bucket
+            rows.append(row)
+    if rows:
+        yield from pairs(rows)
+
+
+def _near_tokens(coded: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``cid`` of tokens that share a key: all that can be one token mistyped, and few others."""
+    n = F.length("token")
+    keys = F.when(n > LONG, 130).otherwise(0) + F.when(n > LONG + 2, 0).when(n >= TWO, n * (n + 1) / 2 + 1).otherwise(n + 1)
+    buckets = int((coded.agg(F.sum(keys)).first()[0] or 0) // _BUCKET) + coded.sparkSession.sparkContext.defaultParallelism
+    packed = spread(coded.select("cid", "token")).mapInArrow(_in_buckets(buckets), "bucket int, high long, keys binary, low binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_in_buckets, "a long, b long").distinct()
 
 
 def _slips(batches):
     for batch in batches:
         ok = pa.array([slip(a, b) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("ta", "tb")], names=["ta", "tb"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("ta", "tb", "df")], names=["ta", "tb", "df"])
 
 
 def _forms(token: str, typed: list[str]) -> set[str]:
@@ -288,58 +378,55 @@ def _forms(token: str, typed: list[str]) -> set[str]:
     return out | {"\x01" + f for x in out for f in FORMALS.get(x, ())}
 
 
-def _coarse(token: str) -> set[str]:
-    """What two errors in a long word leave: its first or last letter, or else the middle."""
-    out = set()
-    for v in {token} | FORMALS.get(token, set()):
-        if len(v) >= 9:
-            out |= {"\x04" + v[0], "\x05" + v[-1]} | {"\x06" + v[i : len(v) - j] for i in range(3) for j in range(3)}
-    return out
-
-
 def _leading(tokens: list[str]) -> list[str]:
     """The tokens that lead to a name: telling ones, else given names."""
     plain = [t for t in tokens if len(t) >= 3 and not t.isdigit() and t not in FIXED_WORDS and t not in FORMALS]
     return plain or [t for t in tokens if t in FORMALS and t not in FIXED_WORDS]
 
 
-def _name_keys(tokens: list[str], typed: dict[str, list[str]]) -> tuple[set[str], set[str], set[str]]:
+def _name_keys(tokens: list[str], typed: dict[str, list[str]], lead: str | None = None) -> tuple[set[str], set[str], set[str]]:
     """Keys of a name: of pairs of tokens, of a token and an initial the name has, of a token and an initial it can have.
 
     Linked names of more than one token have two pairs of partners, one of them
     of leading tokens.  Partners that are no initials have a form in common, so
-    the names share a key of two forms (long words also have coarse ones, which find
-    what is too far apart for the bands); an initial meets the first letters of the
+    the names share a key of two forms; an initial meets the first letters of the
     words of the other name.  A name of one token has that alone.
+
+    Of two forms only those with ``lead`` are taken, if there is one: a full word
+    needs a partner, so whichever leading token either name takes, the forms of the
+    two and of their partners make a key of both names.  If the partner of ``lead`` is
+    an initial, that meets the other leading tokens.  Numbers of several digits, which
+    are equal in linked names, are part of every key.
     """
     forms = {t: _forms(t, typed.get(t, [])) for t in tokens}
     both, has, can = set(), set(), set()
-    for lead in _leading(tokens):
+    for first in _leading(tokens):
         others = list(tokens)
-        others.remove(lead)
-        for f in forms[lead]:
+        others.remove(first)
+        for f in forms[first]:
             if not others:
                 both.add(f)
             for x in others:
-                both |= {"\x02".join(sorted((f, g))) for g in forms[x] | _coarse(x)}
+                if lead in (None, first):
+                    both |= {"\x02".join(sorted((f, g))) for g in forms[x]}
                 if len(x) == 1:
                     has.add(f + "\x03" + x)
                 else:
                     letters = {v.lstrip("\x01")[0] for v in {x, *("\x01" + y for y in FORMALS.get(x, ()))}} | {c for c, w in PLACE_LETTERS.items() if w == x}
                     can |= {f + "\x03" + c for c in letters}
+    numbers = " ".join(sorted(t for t in tokens if t.isdigit() and len(t) > 1))
+    if numbers:
+        both, has, can = ({k + "\x07" + numbers for k in keys} for keys in (both, has, can))
     return both, has, can
 
 
 def _keys_of_names(batches):
-    """The keys of each name as three lists; ``typed`` holds pairs of a token and what it may be, one string a name."""
+    """The keys of each name as three lists; ``typed`` holds a token and what it may be on a line, one string a name."""
     for batch in batches:
         out: list[list] = [[], [], []]
-        for tokens, typed in zip(batch.column("tokens").to_pylist(), batch.column("typed").to_pylist()):
-            known: dict[str, list[str]] = {}
-            for pair in typed.split("\n") if typed else ():
-                x, y = pair.split(" ")
-                known.setdefault(x, []).append(y)
-            for column, keys in zip(out, _name_keys(tokens.split(" "), known)):
+        for tokens, typed, lead in zip(*(batch.column(c).to_pylist() for c in ("tokens", "typed", "lead"))):
+            known = {x: rest for x, *rest in (line.split(" ") for line in (typed.split("\n") if typed else ()))}
+            for column, keys in zip(out, _name_keys(tokens.split(" "), known, lead)):
                 column.append(sorted(keys))
         yield pa.RecordBatch.from_arrays([batch.column("nid"), *(pa.array(x, pa.list_(pa.string())) for x in out)], names=["nid", "both", "has", "can"])
 
@@ -354,7 +441,7 @@ def _links(batches):
 
 
 def _candidates(features: DataFrame) -> DataFrame:
-    """Pairs of tokens that agree in a band; large bands are compared block by block."""
+    """Pairs of names with a key in common; those of large keys are compared block by block."""
     from quern.llm.neardup import _candidates as pairs
 
     return pairs(features)
@@ -384,23 +471,30 @@ def name_links(entities: DataFrame, name_col: str = "name", type_col: str = "typ
     # Fixed words and formal names take part even if no name holds them, as what a mistyped one may be.
     usual = names.sparkSession.createDataFrame([(t, 0) for t in sorted({*FORMALS, *FIXED_WORDS})], "token string, df long")
     counted = frequency.unionByName(usual.join(frequency, "token", "left_anti")).filter(~F.col("token").rlike(r"^\d+$") & (F.length("token") >= 4))
-    coded = materialise(counted.select(F.xxhash64("token").alias("cid"), "token", "df", (~given & ~fixed & (F.col("df") <= often)).alias("rare"), (given | fixed).alias("given")), "names-coded")
-    bands = materialise(coded.mapInArrow(_token_keys, "cid long, keys array<long>"), "names-bands")
+    coded = materialise(counted.select(F.monotonically_increasing_id().alias("cid"), "token", "df", (~given & ~fixed & (F.col("df") <= often)).alias("rare"), (given | fixed).alias("given")), "names-coded")
     ends = [coded.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("token", "df", "rare", "given")]) for x in "ab"]
     # Which of the two the other may be: a given name or fixed word, else the more frequent one.
     lead = F.struct("givenb", "dfb", "tokenb") > F.struct("givena", "dfa", "tokena")
-    near = (_candidates(bands).join(ends[0], "a")
-            # Two common words are never one word mistyped.
-            .join(ends[1], "b").filter("rarea or rareb")
+    near = (_near_tokens(coded).join(ends[0], "a")
+            # Two common words are never one word mistyped, but one may be a formal name mistyped, against a short form.
+            .join(ends[1], "b").filter("rarea or rareb or givena <> givenb")
             # Two edits with transpositions are at most four without, one is at most two; these tests stay in the JVM and keep every slip.
             .filter((F.abs(F.length("tokena") - F.length("tokenb")) <= 2) & (F.levenshtein("tokena", "tokenb", 4) >= 0))
             .filter((F.least(F.length("tokena"), F.length("tokenb")) >= 9) | (F.levenshtein("tokena", "tokenb", 2) >= 0))
-            .select(F.when(lead, F.col("tokena")).otherwise(F.col("tokenb")).alias("ta"), F.when(lead, F.col("tokenb")).otherwise(F.col("tokena")).alias("tb")).mapInArrow(_slips, "ta string, tb string"))
+            .select(F.when(lead, F.col("tokena")).otherwise(F.col("tokenb")).alias("ta"), F.when(lead, F.col("tokenb")).otherwise(F.col("tokena")).alias("tb"),
+                    F.greatest("dfa", "dfb").alias("df")).mapInArrow(_slips, "ta string, tb string, df long"))
     near = materialise(near, "names-slips")
-    typed = (held.join(near.select(F.col("ta").alias("token"), "tb"), "token").groupBy("nid")
-             .agg(F.array_join(F.collect_set(F.concat_ws(" ", "token", "tb")), "\n").alias("typed")))
-    keyed = (names.select("nid", F.array_join("tokens", " ").alias("tokens")).join(typed, "nid", "left")
-             .mapInArrow(_keys_of_names, "nid long, both array<string>, has array<string>, can array<string>"))
+    may = near.groupBy(F.col("ta").alias("token")).agg(F.array_join(F.collect_set("tb"), " ").alias("may"), F.max("df").alias("most"))
+    telling = (F.col("df") <= often) & (F.length("token") >= 3) & ~F.col("token").rlike(r"^\d+$") & ~given & ~fixed
+    lexicon = frequency.join(may, "token", "left").select("token", F.when(F.col("may").isNotNull(), F.concat_ws(" ", "token", "may")).alias("typed"), (F.col("df") > often).alias("common"),
+                                                          F.when(telling, F.greatest("df", "most")).alias("weight"))
+    # The common words of each name travel with it: two different common words are never one word mistyped.
+    words = held.join(lexicon, "token").groupBy("nid").agg(F.array_join(F.collect_set("typed"), "\n").alias("typed"), F.min(F.when(F.col("weight").isNotNull(), F.struct("weight", "token"))).alias("lead"),
+                                                           F.array_join(F.collect_set(F.when(F.col("common"), F.col("token"))), " ").alias("common"))
+    known = names.join(words, "nid", "left").select("nid", F.array_join("tokens", " ").alias("tokens"), "kind", F.coalesce("common", F.lit("")).alias("common"), "typed", "lead.token")
+    known = materialise(known.withColumnRenamed("token", "lead"), "names-known")
+    release(frequency, coded, near)
+    keyed = known.select("nid", "tokens", "typed", "lead").mapInArrow(_keys_of_names, "nid long, both array<string>, has array<string>, can array<string>")
     keyed = materialise(keyed.select("nid", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("both", "has", "can")]), "names-keyed")
     led = keyed.select(F.col("nid").alias("cid"), F.col("both").alias("keys"))
     # What meets here is linked, unless another part of the names differs.
@@ -410,13 +504,10 @@ def name_links(entities: DataFrame, name_col: str = "name", type_col: str = "typ
     star = (whole.join(whole.groupBy("key").agg(F.min("nid").alias("rep")), "key").filter("nid <> rep")
             .select(F.col("rep").alias("a"), F.col("nid").alias("b")))
     pairs = star.unionByName(_candidates(led)).unionByName(initials).distinct()
-    # The common words of each name travel with it: two different common words are never one word mistyped.
-    usual = held.join(frequency.filter(F.col("df") > often), "token").groupBy("nid").agg(F.array_join(F.collect_set("token"), " ").alias("common"))
-    known = names.join(usual, "nid", "left").select("nid", F.array_join("tokens", " ").alias("tokens"), "kind", F.coalesce("common", F.lit("")).alias("common"))
-    known = materialise(known, "names-known")
     full = (pairs.join(known.select(F.col("nid").alias("a"), F.col("tokens").alias("xa"), F.col("kind").alias("ka"), F.col("common").alias("ca")), "a")
             .join(known.select(F.col("nid").alias("b"), F.col("tokens").alias("xb"), F.col("kind").alias("kb"), F.col("common").alias("cb")), "b"))
     links = materialise(full.mapInArrow(_links, "a long, b long, score double"), "names-links")
+    release(keyed, known)
     full = F.size(F.filter("tokens", lambda t: F.length(t) > 1)) >= 2
     return names.select("nid", "name", "n", full.alias("full")), links
 

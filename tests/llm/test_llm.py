@@ -307,6 +307,55 @@ def test_variants_of_common_tokens_do_not_depend_on_the_cap(spark, monkeypatch):
     assert got == whole
 
 
+def _mistyped(token, rng, letters):
+    """The token with one error."""
+    i, kind = rng.randrange(len(token) - 1), rng.randrange(4)
+    return token[:i] + (token[i + 1] + token[i] + token[i + 2:], rng.choice(letters) + token[i + 1:], rng.choice(letters) + token[i:], token[i + 1:])[kind]
+
+
+def test_token_keys_meet_two_errors_and_hardly_anything_else(spark):
+    rng, letters = random.Random(11), "abcdefghijklmnopqrstuvwxyzå"
+    syllables = ["".join(x) for x in itertools.product("klmrst", "aeiou", "fmnst")]
+    tokens = {"".join(rng.choice(syllables) for _ in range(rng.randrange(3, 5))) for _ in range(700)}
+    tokens |= {"".join(rng.choice(letters) for _ in range(n)) for n in range(9, 45) for _ in range(6)}
+    tokens |= {_mistyped(_mistyped(t, rng, letters), rng, letters) for t in sorted(tokens)[::3]}
+    tokens = sorted(tokens)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(tokens)), pa.int64()), pa.array(tokens)], names=["cid", "token"])
+    holders = {}
+    for i, keys in enumerate(next(names._token_keys([batch])).column("keys").to_pylist()):
+        for k in set(keys):
+            holders.setdefault(k, []).append(i)
+    met = {p for own in holders.values() for p in itertools.combinations(own, 2)}
+    true = {(i, j) for i, j in itertools.combinations(range(len(tokens)), 2) if abs(len(tokens[i]) - len(tokens[j])) <= 2 and names.slip(tokens[i], tokens[j])}
+    assert len(true) > 250 and true <= met and len(met) < 8 * len(true)
+    # The packed way gives the same pairs, however far apart the numbers are, and a few of which only half the key is equal.
+    coded = spark.createDataFrame([(i * 9_999 - 70_000, t) for i, t in enumerate(tokens)], "cid long, token string").repartition(3)
+    got = {((r["a"] + 70_000) // 9_999, (r["b"] + 70_000) // 9_999) for r in names._near_tokens(coded).collect()}
+    assert met <= got and len(got - met) < 20
+    assert names._near_tokens(coded.limit(0)).count() == 0
+
+
+def test_names_that_share_common_words_only_are_not_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    rare = ["".join(rng.choice("bdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    given = [f"Department of Linguistics, {t.title()} College" for t in rare] + [f"Xenia {t.title()}" for t in rare] + [f"{y} {rare[0].title()} Congress" for y in range(1900, 1940)]
+    pairs = [("Dept. of Linguistics, Vulmokar Coll.", "Department of Linguistisc, Vulmokar College"), ("Xenia Vulmokar", "Xenai Vulmoakr"), ("1950 Vulmokar Congress", "1950 Vulmokra Congress"), ("Glesfafuv Foundation", "Glusfafud Foundation")]
+    df = spark.createDataFrame([(n, None) for n in [*given, *(n for p in pairs for n in p)]], "name string, type string")
+
+    def candidates(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([1.0] * b.num_rows, pa.float64())], names=["a", "b", "score"])
+
+    def links():
+        nodes, found = names.name_links(df)
+        named = {r["nid"]: r["name"] for r in nodes.collect()}
+        return {frozenset((named[r["a"]], named[r["b"]])) for r in found.collect()}
+
+    assert {frozenset(p) for p in pairs} <= links()
+    monkeypatch.setattr(names, "_links", candidates)
+    assert len(links()) < 60  # 80 departments or persons and 40 congresses make 2,340 pairs
+
+
 # --- packing and mixing -----------------------------------------------------
 
 @pytest.mark.parametrize("seed", range(5))
